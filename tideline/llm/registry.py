@@ -5,14 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, secrets
-from .textkit import table
+from . import decontam, langid, quality, secrets, sharding, warc
+from .textkit import Scratch, table
 
 
 def _bucket(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    root = scratch.path("packages")
+    packages = scratch.save(warc.write_archives(table(spark, sf_dir, "pages"), root))
+    return warc.read_archives(packages, root, keep_payload=False).select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "target_uri"
+    )
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=16, slots=4096).placed
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(_bucket(5) == 0, F.lit(False))
@@ -33,7 +51,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op5_language": op5_language, "op6_secrets": op6_secrets, "op9_quality": op9_quality}
+    return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op3_decontamination": op3_decontamination, "op5_language": op5_language, "op6_secrets": op6_secrets, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
