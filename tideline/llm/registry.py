@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, quality, secrets, sharding, warc
+from . import decontam, langid, ngramjoin, oracles, quality, secrets, sharding, warc
 from .textkit import Scratch, table
 
 
@@ -46,13 +46,17 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join_components(table(spark, sf_dir, "documents")).drop("n_links")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
 def queries() -> dict:
-    return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op3_decontamination": op3_decontamination, "op5_language": op5_language, "op6_secrets": op6_secrets, "op9_quality": op9_quality}
+    return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op3_decontamination": op3_decontamination, "op5_language": op5_language, "op6_secrets": op6_secrets, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_ngram_join": oracles.OP8}

@@ -139,7 +139,7 @@ def shingle_sets(piece: Piece, width: int = 5) -> Iterator[np.ndarray]:
             yield np.unique(w[cut[i] : cut[i + 1]])
         elif b > a:
             n = b - a
-            yield mix64(np.array([(h[a:b] * _MULT[8 : 8 + n]).sum() + np.uint64(n) * _GOLDEN], np.uint64))
+            yield mix64((h[a:b] * _MULT[8 : 8 + n]).sum(keepdims=True) + np.array([n], np.uint64) * _GOLDEN)
         else:
             yield np.zeros(0, np.uint64)
 
