@@ -14,12 +14,12 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-r(doc_id, at) AS (SELECT doc_id, doc_id FROM docs UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.at = e.a)
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM docs UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a)
 """
 
 OP8 = f"""
-WITH RECURSIVE docs AS (SELECT doc_id, text FROM documents), {SHINGLES},
-deg AS (SELECT a AS doc_id, count(*) AS n_all FROM e GROUP BY a)
+WITH RECURSIVE docs AS (SELECT doc_id, text FROM documents), {SHINGLES}
+
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
-FROM docs d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(at) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
+FROM docs d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
 """
