@@ -7,8 +7,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 #: Documents, their shingle sets, exact pairs and components; `docs` is any relation with doc_id and text.
 SHINGLES = f"""
-w AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '{SPACES}'), x -> x <> '') AS ws FROM docs),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))
+w AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER}, '{SPACES}'), lambda x: x <> '') AS ws FROM docs),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
       WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
