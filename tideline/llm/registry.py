@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, ngramjoin, oracles, quality, secrets, sharding, warc
+from . import decontam, langid, licenses, ngramjoin, oracles, quality, secrets, sharding, warc
 from .textkit import Scratch, table
 
 
@@ -46,6 +46,16 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    at = F.col("places")["word"]
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("base_labels", "block_labels")), ",").alias("labels"),
+        F.col("best").alias("score"),
+    )
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join_components(table(spark, sf_dir, "documents")).drop("n_links")
 
@@ -55,7 +65,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op3_decontamination": op3_decontamination, "op5_language": op5_language, "op6_secrets": op6_secrets, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality}
+    return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op3_decontamination": op3_decontamination, "op5_language": op5_language, "op6_secrets": op6_secrets, "op7_licenses": op7_licenses, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
