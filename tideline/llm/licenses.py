@@ -74,13 +74,14 @@ def _places(phrase: str) -> Column:
     """Word places at which a phrase starts; looked for only where its last word occurs."""
     parts = phrase.split()
     n = len(parts)
-    whole = F.filter(
-        F.sequence(F.lit(0), F.size("words") - n),
-        lambda i: (F.get("words", i) == parts[0]) & (F.slice("words", i + 1, n) == _list(parts)),
-    )
+    whole = F.filter(F.sequence(F.lit(0), F.size("words") - n), lambda i: (F.get("words", i) == parts[0]) & (F.slice("words", i + 1, n) == _list(parts)))
     return F.when((F.size("words") >= n) & F.array_contains("words", parts[0]) & F.array_contains("words", parts[-1]), whole).otherwise(F.array().cast("array<int>"))
 
 
+def _tag(label: str):
+    return lambda place: F.struct(F.lit(label).alias("label"), place.cast("long").alias("word"))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, rules: ScanRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, places, base_labels, block_labels, best) of every document.
 
@@ -93,7 +94,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, rules:
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col), F.length(text_col)).alias("_key"), words(F.col(text_col)).alias("words"))
     phrases = list(PHRASES.items())
     base = rows.select("_id", "_key", F.size("words").cast("long").alias("n_words"), *[_places(p).alias(f"_p{i}") for i, (p, _) in enumerate(phrases)])
-    tagged = [F.transform(f"_p{i}", lambda x, label=label: F.struct(F.lit(label).alias("label"), x.cast("long").alias("word"))) for i, (_, label) in enumerate(phrases)]
+    tagged = [F.transform(f"_p{i}", _tag(label)) for i, (_, label) in enumerate(phrases)]
     base = base.select("_id", "_key", "n_words", F.concat(*tagged).alias("places"))
     found = _join_blocks(rows, kinds, rules)
     out = base.join(found, base["_id"].eqNullSafe(found["f_id"]) & (base["_key"] == found["f_key"]), "left")
