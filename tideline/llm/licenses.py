@@ -47,7 +47,7 @@ TEMPLATES = [
 
 @dataclass(frozen=True)
 class ScanRules:
-    percent: int = 80
+    percent: int = 90
     block: int = 96
     step: int = 48
 
