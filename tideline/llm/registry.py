@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, ngramjoin, oracles, quality, secrets, sharding, warc
+from . import decontam, langid, licenses, lm, ngramjoin, oracles, quality, secrets, sharding, warc
 from .textkit import Scratch, table
 
 
@@ -31,6 +31,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(_bucket(7) == 2, F.lit(False))
+    scratch = Scratch(spark, "lm")
+    model, counts = lm.fit(docs.where(~held), scratch)
+    return lm.score(docs, model, counts, scratch).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(_bucket(5) == 0, F.lit(False))
@@ -65,7 +73,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op3_decontamination": op3_decontamination, "op5_language": op5_language, "op6_secrets": op6_secrets, "op7_licenses": op7_licenses, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality}
+    return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op3_decontamination": op3_decontamination, "op4_maxent": op4_maxent, "op5_language": op5_language, "op6_secrets": op6_secrets, "op7_licenses": op7_licenses, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
