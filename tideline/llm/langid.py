@@ -157,11 +157,11 @@ def infer(model: MixtureModel, g: np.ndarray) -> list[tuple[int, float]]:
     return chosen
 
 
-def _predictor(model_of, id_field: str):
+def _predictor(model_of, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of.value
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(text_at)
             pred, score, sets, shares = [], [], [], []
             for p in tk.pieces(texts):
                 for i, g in enumerate(grams(p, model.settings.buckets)):
@@ -176,16 +176,21 @@ def _predictor(model_of, id_field: str):
                     sets.append([model.languages[j] for j, _ in chosen])
                     shares.append([v for _, v in chosen])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
-                names=[id_field, "lang_pred", "score", "lang_set", "lang_shares"],
+                [*batch.columns[: len(names)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
+                names=[*names, "lang_pred", "score", "lang_set", "lang_shares"],
             )
 
     return run
 
 
-def predict(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Predicted language, its share, and the chosen set with all shares, of every document."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # buckets x languages, both parameters
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_predictor(shared, id_col), f"`{id_col}` {kind}, lang_pred string, score double, lang_set array<string>, lang_shares array<double>")
+def predict(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """Predicted language, its share, and the chosen set with all shares, of every document.
+
+    With `keep`, all columns of the documents stay beside them, else the id alone; columns of
+    the documents that are named like a result give way to it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, both parameters
+    own = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_set", "lang_shares")] if keep else [id_col]
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").alias("_text"))
+    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
+    return rows.mapInArrow(_predictor(shared, len(own), own), f"{shape}, lang_pred string, score double, lang_set array<string>, lang_shares array<double>")

@@ -217,7 +217,7 @@ def fit(training: DataFrame, scratch: tk.Scratch, settings: ModelSettings | None
     counts = docs.select("text").mapInArrow(_counter, "token long, affix long, n long").groupBy("token").agg(F.min("affix").alias("affix"), F.sum("n").alias("n"))
     counts = scratch.save(counts)
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(s.frequent).toArrow()  # `frequent` rows at most
+    top = tk.most_frequent(counts, "n", s.frequent).toArrow()  # `frequent` rows at most
     hashes, times = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.lexsort((hashes, -times))
     hashes, times = hashes[order], times[order]

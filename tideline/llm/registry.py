@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, lm, ngramjoin, oracles, quality, secrets, sharding, warc
+from . import decontam, langid, licenses, lm, ngramjoin, oracles, pieces, quality, secrets, sharding, warc
 from .textkit import Scratch, table
 
 
@@ -72,8 +72,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+#: Place of the public tokenizers' files.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces_of = pieces.PieceTable.load(f"{TOKENIZERS}/piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(docs, pieces_of), pieces_of)
+    same = F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded"))
+    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), same.alias("round_trip"), "piece_ids")
+
+
 def queries() -> dict:
-    return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op3_decontamination": op3_decontamination, "op4_maxent": op4_maxent, "op5_language": op5_language, "op6_secrets": op6_secrets, "op7_licenses": op7_licenses, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality}
+    return {"op1_warc": op1_warc, "op2_sharding": op2_sharding, "op3_decontamination": op3_decontamination, "op4_maxent": op4_maxent, "op5_language": op5_language, "op6_secrets": op6_secrets, "op7_licenses": op7_licenses, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
