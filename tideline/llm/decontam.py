@@ -129,28 +129,36 @@ def _slot(c: np.ndarray) -> np.ndarray:
     return ((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
 
 
-def align(text: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndarray, pattern: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits of the whole pattern against any passage within a band of diagonals, and the passage's end.
+def align(text: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndarray, patterns: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits of a whole pattern against any passage within a band of diagonals, and the passage's end.
 
-    One candidate a row: its text is text[low:high], its band the `width` diagonals from
-    `diagonal` (text place minus pattern place, both absolute in `text`).
+    One candidate a row: its text is text[low:high], its pattern the first `lengths` bytes of
+    its row, its band the `width` diagonals from `diagonal` (text place minus pattern place).
     """
-    n, m = len(diagonal), len(pattern)
-    lanes = np.arange(width)
+    n, most = patterns.shape
+    lanes = np.arange(width, dtype=np.int32)
     d = diagonal[:, None] + lanes
-    big = np.int32(m + 1)
-    cost = np.where((d >= low[:, None]) & (d <= high[:, None]), 0, big).astype(np.int32)
-    for j in range(1, m + 1):
-        at = d + (j - 1)
-        inside = (at >= low[:, None]) & (at < high[:, None])
-        same = inside & (text[np.clip(at, 0, len(text) - 1)] == pattern[j - 1])
-        new = np.where(inside, cost + ~same, big)
-        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
-        new = np.where((at + 1 >= low[:, None]) & (at + 1 <= high[:, None]), new, big)
-        cost = np.minimum.accumulate(new - lanes, axis=1).astype(np.int32) + lanes.astype(np.int32)
-        cost = np.minimum(cost, big)
-    best = cost.argmin(1)
-    return cost[np.arange(n), best], diagonal + best + m
+    big = np.int32(most + 1)
+    low, high = low[:, None], high[:, None]
+    cost = np.where((d >= low) & (d <= high), 0, big).astype(np.int32)
+    best, end = np.full(n, big), np.zeros(n, np.int64)
+    # Every candidate's text within reach of its band, with bytes of no pattern outside the text.
+    at = diagonal[:, None] + np.arange(width + most)
+    near = np.where((at >= low) & (at < high), text[np.minimum(np.maximum(at, 0), len(text) - 1)], 0)
+    fits = np.where((at >= low) & (at <= high), 0, big).astype(np.int32)
+    for j in range(1, most + 1):
+        new = cost + (near[:, j - 1 : j - 1 + width] != patterns[:, j - 1 : j])
+        np.minimum(new[:, :-1], cost[:, 1:] + 1, out=new[:, :-1])
+        new += fits[:, j : j + width]
+        new -= lanes
+        np.minimum.accumulate(new, axis=1, out=new)
+        new += lanes
+        cost = np.minimum(new, big, out=new)
+        done = np.flatnonzero(lengths == j)
+        if len(done):
+            lane = cost[done].argmin(1)
+            best[done], end[done] = cost[done, lane], diagonal[done] + lane + j
+    return best, end
 
 
 def search(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
@@ -184,19 +192,22 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tupl
     both = count + np.where(keys[found] == keys + 1, count[found], 0)
     p_of = (keys // n_bands) % n_patterns
     strong = both >= index.need[p_of]
-    for k in np.unique(p_of[strong]):
-        mine = keys[strong & (p_of == k)]
-        docs, bands = mine // n_bands // n_patterns, mine % n_bands
-        edits = int(index.edits[k])
-        start = bands * _STEP - 4 * _STEP * 64 - edits
-        for a in range(0, len(mine), 256):
-            s = slice(a, a + 256)
-            cost, end = align(x, bounds[docs[s]], bounds[docs[s] + 1], start[s], index.patterns[k], edits, 2 * _STEP + 2 * edits)
-            for i in np.flatnonzero(cost <= edits):
-                d = int(docs[s][i])
-                stop = min(max(int(end[i]), int(bounds[d]) + 1), int(bounds[d + 1]))
-                begin = max(int(bounds[d]), stop - len(index.patterns[k]))
-                yield d, int(k), int(cost[i]), int(at[begin] - offsets[d]), int(at[stop - 1] + 1 - offsets[d])
+    mine, kinds = keys[strong], p_of[strong]
+    docs, edits = mine // n_bands // n_patterns, index.edits[kinds]
+    start = (mine % n_bands) * _STEP - 4 * _STEP * 64 - edits
+    width = 2 * _STEP + 2 * int(index.edits.max())
+    lengths = np.array([len(index.patterns[k]) for k in kinds], np.int64)
+    for a in range(0, len(mine), 1024):
+        s = slice(a, a + 1024)
+        rows = np.zeros((len(mine[s]), int(lengths[s].max())), np.uint8)
+        for i, k in enumerate(kinds[s]):
+            rows[i, : lengths[a + i]] = index.patterns[k]
+        cost, end = align(x, bounds[docs[s]], bounds[docs[s] + 1], start[s], rows, lengths[s], width)
+        for i in np.flatnonzero(cost <= edits[s]):
+            d, m = int(docs[a + i]), int(lengths[a + i])
+            stop = min(max(int(end[i]), int(bounds[d]) + 1), int(bounds[d + 1]))
+            begin = max(int(bounds[d]), stop - m)
+            yield d, int(kinds[a + i]), int(cost[i]), int(at[begin] - offsets[d]), int(at[stop - 1] + 1 - offsets[d])
 
 
 def _finder(index_of, id_field: str):
