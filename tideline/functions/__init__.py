@@ -1 +1 @@
-"""functions"""
+"""Column functions and codecs: keys, event types, payloads, positions, names."""

@@ -1 +1 @@
-"""operators"""
+"""Projection operators: reducers, version order, folds, batches, sinks and checks."""

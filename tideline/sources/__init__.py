@@ -1 +1 @@
-"""sources"""
+"""Sources: event logs, source filters, record transforms and offset handling."""

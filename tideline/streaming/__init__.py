@@ -1 +1 @@
-"""streaming"""
+"""Running projections on Structured Streaming."""
