@@ -7,16 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HEX32 = r"^[0-9a-f]{32}$"
+_PARTS = "([0-9a-f]{8}){0}([0-9a-f]{4}){0}([0-9a-f]{4}){0}([0-9a-f]{4}){0}([0-9a-f]{12})"
+_DASHED, _PLAIN = _PARTS.replace("{0}", "-"), _PARTS.replace("{0}", "")
+_FORMS = "^(?:" + "|".join([_DASHED, _PLAIN, r"\{" + _DASHED + r"\}", r"\(" + _DASHED + r"\)"]) + ")$"
+_CANONICAL = "-".join("".join(f"${5 * form + part}" for form in range(4)) for part in range(1, 6))
 
 
 def guid(text: Column) -> Column:
     """Canonical lower-case 8-4-4-4-12 form of a GUID in N, D, B or P form; null if it is none or all zeros."""
-    t = F.lower(F.trim(text))
-    inner = F.when(t.rlike(r"^[({][0-9a-f-]{36}[)}]$") & ((F.left(t, F.lit(1)) == "{") == (F.right(t, F.lit(1)) == "}")), F.substring(t, 2, 36)).otherwise(t)
-    digits = F.when(inner.rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.replace(inner, F.lit("-"), F.lit(""))).when(inner.rlike(_HEX32), inner)
-    dashed = F.regexp_replace(digits, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    return F.when(dashed != "00000000-0000-0000-0000-000000000000", dashed)
+    dashed = F.regexp_replace(F.lower(F.trim(text)), _FORMS, _CANONICAL)
+    return F.nullif(F.regexp_extract(dashed, "^(?!0{8}-0{4}-0{4}-0{4}-0{12})[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", 0), F.lit(""))
 
 
 def number(text: Column) -> Column:
@@ -32,7 +32,7 @@ def key_from_stream(stream_id: Column, parse=guid) -> Column:
 
 def key_from_subject(subject: Column, segment: int = -1, parse=guid) -> Column:
     """Key in a segment of a `/` path: segments are trimmed and empty ones dropped; a negative number is the last."""
-    parts = F.filter(F.transform(F.split(subject, "/"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(subject, "/"), lambda x: F.trim(x)), lambda x: x != "")
     return parse(F.get(parts, F.size(parts) - 1) if segment < 0 else F.get(parts, F.lit(segment)))
 
 

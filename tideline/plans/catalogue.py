@@ -1,24 +1,6 @@
-"""Registry of the engine's queries and of the SQL that each must equal."""
+"""The engine's queries and the SQL that each must equal."""
 
-from __future__ import annotations
+from . import check_queries, fold_queries, sink_queries, source_queries, stream_queries
+from .base import ORACLES, QUERIES
 
-import importlib
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a (spark, sf_dir) -> DataFrame function, with DuckDB SQL for its rows where there is any."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-for _name in ("source_queries", "fold_queries", "sink_queries", "check_queries", "stream_queries"):
-    importlib.import_module(f"tideline.plans.{_name}")
+__all__ = ["ORACLES", "QUERIES", "check_queries", "fold_queries", "sink_queries", "source_queries", "stream_queries"]

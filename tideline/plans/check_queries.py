@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import checks
 from ..sources import logs
 from . import sql
-from .catalogue import query
+from .base import query
 from .fold_queries import ORDER, order_model
 
 

@@ -10,7 +10,7 @@ from ..operators.reducers import Add, Append, Set, constant, count
 from ..operators.spec import ProjectionSpec, Settings
 from ..sources import logs
 from . import sql
-from .catalogue import query
+from .base import query
 
 MONEY = "decimal(28,2)"
 

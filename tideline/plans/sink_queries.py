@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..operators import sink
-from .catalogue import query
+from .base import query
 
 #: Stored rows of two thirds of the customers, and changes of all: every case of the merge occurs.
 _STATE = "st AS (SELECT c_custkey AS model_id, (c_custkey % 4)::BIGINT AS event_number, c_custkey AS global_position, c_name AS name, c_custkey % 11 = 0 AS has_faulted FROM customer WHERE c_custkey % 3 > 0)"

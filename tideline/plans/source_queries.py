@@ -8,7 +8,7 @@ from ..functions import keys
 from ..operators import decode
 from ..sources import filters, logs, topics
 from . import sql
-from .catalogue import query
+from .base import query
 
 _LOG = ["model_id", "event_number", "event_type"]
 

@@ -11,7 +11,7 @@ from ..operators.store import ProjectionStore
 from ..sources import logs
 from ..streaming.runner import BatchRunner, stateful, use_rocksdb
 from . import sql
-from .catalogue import query
+from .base import query
 from .fold_queries import ORDER, shown
 
 
