@@ -20,10 +20,8 @@ id and the text are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +32,24 @@ from . import textkit as tk
 
 tk.ship(__name__)
 
-MOST = 48
-_UNITS = re.compile(rf" {{0,16}}[^\W\d_]{{1,{MOST}}}| {{0,16}}(?:[^\w ]|_){{1,{MOST}}}|\d| {{1,16}}").findall
+MOST, SPACES = 48, 16
+_UNITS = re.compile(rf" {{0,{SPACES}}}[^\W\d_]{{1,{MOST}}}| {{0,{SPACES}}}(?:[^\w ]|_){{1,{MOST}}}|\d| {{1,{SPACES}}}").findall
+SPACE, LETTER, DIGIT, OTHER = range(4)
+_CLASSES: list[np.ndarray] = []
+
+
+def classes() -> np.ndarray:
+    """Class of every code point, as the unit pattern sees it; built once a process."""
+    if not _CLASSES:
+        table = np.full(0x110000, OTHER, np.uint8)
+        text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        at = np.r_[0:0xD800, 0xE000:0x110000]
+        for name, pattern in ((LETTER, r"[^\W\d_]+"), (DIGIT, r"\d+")):
+            for m in re.finditer(pattern, text):
+                table[at[m.start() : m.end()]] = name
+        table[32] = SPACE
+        _CLASSES.append(table)
+    return _CLASSES[0]
 
 
 @dataclass(frozen=True)
@@ -70,153 +84,281 @@ class PieceTable:
 
 
 def split(text: str) -> list[str]:
-    """Units of a text with a space before it."""
+    """Units of a text with a space before it, by the pattern that defines them."""
     return _UNITS(" " + text)
 
 
+class Units:
+    """The same for the texts of a piece at once: bytes with a space before each text, unit bounds, hashes."""
+
+    def __init__(self, p: tk.Piece):
+        self.n = p.n
+        filled = np.diff(p.offsets) > 0  # an empty text has no units
+        before = np.cumsum(filled)
+        size = len(p.data) + int(before[-1])
+        data = np.full(size, 32, np.uint8)
+        data[np.arange(len(p.data)) + np.repeat(before, np.diff(p.offsets))] = p.data
+        self.data = data
+        self.offsets = p.offsets + np.r_[0, before]
+        lead = (data & 0xC0) != 0x80
+        head = np.flatnonzero(lead)
+        point = data[head].astype(np.uint32)
+        wide = np.flatnonzero(point >= 0x80)
+        if len(wide):
+            at, first = head[wide], point[wide]
+            tail = [np.where(at + j < size, data[np.minimum(at + j, size - 1)] & 0x3F, 0).astype(np.uint32) for j in (1, 2, 3)]
+            two = ((first & 0x1F) << 6) | tail[0]
+            three = ((first & 0x0F) << 12) | (tail[0] << 6) | tail[1]
+            four = ((first & 0x07) << 18) | (tail[0] << 12) | (tail[1] << 6) | tail[2]
+            point[wide] = np.minimum(np.where(first < 0xE0, two, np.where(first < 0xF0, three, four)), 0x10FFFF)
+        kind = classes()[point]
+        text = np.zeros(len(head) + 1, bool)
+        text[np.searchsorted(head, self.offsets)] = True
+        text = text[:-1]
+        last = np.empty_like(kind)
+        last[1:] = kind[:-1]
+        last[:1] = OTHER
+        turn = text | (kind != last)  # runs of a class
+        run = np.flatnonzero(turn)
+        inside = np.arange(len(kind)) - np.repeat(run, np.diff(np.r_[run, len(kind)]))
+        joined = (last == SPACE) & ((kind == LETTER) | (kind == OTHER)) & ~text
+        start = (turn & ~joined) | (kind == DIGIT) | (inside > 0) & np.where(kind == SPACE, inside % SPACES == 0, inside % MOST == 0)
+        self.starts = head[np.flatnonzero(start)]
+        self.ends = np.r_[self.starts[1:], size] if len(self.starts) else self.starts
+        self.bounds = np.searchsorted(self.starts, self.offsets)
+
+    def hashes(self) -> np.ndarray:
+        n = len(self.data)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(tk._TABLE[self.data] * tk.powers(tk._BASE, n), out=sums[1:])
+        h = (sums[self.ends] - sums[self.starts]) * tk.powers(tk._INVERSE, n)[self.starts] if n else np.zeros(0, np.uint64)
+        return tk.mix64(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def texts(self, which: np.ndarray) -> pa.Array:
+        """Some units as strings."""
+        a, n = self.starts[which], (self.ends - self.starts)[which]
+        ends = np.cumsum(n)
+        flat = self.data[np.repeat(a - np.r_[0, ends[:-1]], n) + np.arange(int(n.sum()))] if len(which) else np.zeros(0, np.uint8)
+        return pa.Array.from_buffers(pa.large_string(), len(which), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())])
+
+
+_FLUSH = 1_000_000
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+    held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+    size = 0
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["unit", "n"])
+        h = np.concatenate([x[0] for x in held])
+        n = np.concatenate([x[1] for x in held])
+        order = np.argsort(h, kind="stable")
+        head = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+        units = pa.concat_arrays([x[2] for x in held]).take(pa.array(order[head])).cast(pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(h[order][head].view(np.int64)), units, pa.array(np.add.reduceat(n[order], head))], names=["hash", "unit", "n"])
 
     for batch in batches:
-        for x in batch.column(0):
-            held.update(split(x.as_py()))
-            if len(held) > 300_000:
+        for p in tk.pieces(batch.column(0)):
+            u = Units(p)
+            h, first, n = np.unique(u.hashes(), return_index=True, return_counts=True)
+            held.append((h, n, u.texts(first)))
+            size += len(h)
+            if size > _FLUSH:
                 yield out()
                 held.clear()
-    if held:
+                size = 0
+    if size:
         yield out()
 
 
 def viterbi(units: DataFrame, table: PieceTable) -> DataFrame:
-    """(unit, n, ids) of distinct units (unit, n)."""
+    """(hash, n, ids) of distinct units (hash, unit, n), of which each must lie in one task whole.
+
+    An unknown character is an edge too; until the end its id stands as -1 - code point.
+    """
     spark = units.sparkSession
     longest = max(len(p) for p, _, _ in table.pieces)
     lowest = min(s for _, _, s in table.pieces) - 10.0
     pieces = F.broadcast(spark.createDataFrame(table.pieces, "piece string, id int, score double"))  # the piece table: fixed
-    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    spans = starts.select("unit", "n", "s", F.explode(F.expr(f"sequence(s + 1, least(s + {longest}, length(unit)))")).alias("e"))
-    spans = spans.select("unit", "n", "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("piece"))
+    keys = ["hash", "unit", "n"]
+    starts = units.select(*keys, F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    spans = starts.select(*keys, "s", F.explode(F.expr(f"sequence(s + 1, least(s + {longest}, length(unit)))")).alias("e"))
+    spans = spans.select(*keys, "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("piece"))
     edges = spans.join(pieces, "piece", "left").where("id is not null or e = s + 1")
-    raw = F.expr(f"transform(sequence(1, octet_length(piece)), i -> cast(conv(hex(substring(encode(piece, 'UTF-8'), i, 1)), 16, 10) as int) + {table.byte_zero})")
-    edges = edges.select("unit", "n", F.struct("e", "s", F.when(F.col("id").isNull(), raw).otherwise(F.array("id")).alias("ids"), F.coalesce("score", F.lit(lowest)).alias("score")).alias("edge"))
-    lattice = edges.groupBy("unit", "n").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    edge = F.struct("e", "s", F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(lowest)).alias("score"))
+    lattice = edges.select(*keys, edge.alias("edge")).groupBy(*keys).agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    # Edges come by end, then start: `best` has the finished positions, `now` the one that edges end at.
+    # Every position has an edge into it, so position e is the e-th entry.
     fold = """
         aggregate(edges,
-          transform(sequence(0, length(unit)), i -> struct(if(i = 0, 0D, cast(null as double)) as score, 0 as size, cast(array() as array<int>) as ids)),
-          (best, x) -> transform(best, (v, i) ->
-            if(i = x.e and best[x.s].score is not null and (v.score is null or best[x.s].score + x.score > v.score
-                or (best[x.s].score + x.score = v.score and best[x.s].size + size(x.ids) < v.size)),
-              struct(best[x.s].score + x.score as score, best[x.s].size + size(x.ids) as size, concat(best[x.s].ids, x.ids) as ids), v)),
-          best -> element_at(best, -1).ids)
+          struct(cast(array() as array<struct<score:double,size:int,ids:array<int>>>) as best, struct(0D as score, 0 as size, cast(array() as array<int>) as ids) as now, 0 as at),
+          (a, x) -> if(x.e > a.at,
+            struct(concat(a.best, array(a.now)) as best,
+                   named_struct('score', if(x.s = a.at, a.now, a.best[x.s]).score + x.score,
+                                'size', if(x.s = a.at, a.now, a.best[x.s]).size + 1, 'ids', concat(if(x.s = a.at, a.now, a.best[x.s]).ids, array(x.id))) as now,
+                   x.e as at),
+            if(a.best[x.s].score + x.score > a.now.score or (a.best[x.s].score + x.score = a.now.score and a.best[x.s].size + 1 < a.now.size),
+               struct(a.best as best, struct(a.best[x.s].score + x.score as score, a.best[x.s].size + 1 as size, concat(a.best[x.s].ids, array(x.id)) as ids) as now, a.at as at), a)),
+          a -> a.now.ids)
     """
-    return lattice.select("unit", "n", F.expr(fold).alias("ids"))
+    return lattice.select("hash", "n", F.expr(fold).alias("ids"))
+
+
+def as_bytes(ids: np.ndarray, offsets: np.ndarray, byte_zero: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids with each -1 - code point as the ids of its UTF-8 bytes."""
+    odd = np.flatnonzero(ids < 0)
+    if not len(odd):
+        return ids, offsets
+    raw = [np.frombuffer(chr(-1 - int(ids[i])).encode(), np.uint8).astype(np.int32) + byte_zero for i in odd]
+    times = np.ones(len(ids), np.int64)
+    times[odd] = [len(r) for r in raw]
+    out = np.repeat(ids, times)
+    first = np.r_[0, np.cumsum(times)]
+    for i, r in zip(odd, raw, strict=True):
+        out[first[i] : first[i] + len(r)] = r
+    return out, first[offsets]
+
+
+_SLOTS = 22
 
 
 @dataclass(frozen=True)
 class Lookup:
-    place: dict[str, int]
+    """Ids of frequent units, by hash; `table` leads from a hash's slot to its place."""
+
+    hashes: np.ndarray
+    table: np.ndarray
     offsets: np.ndarray
     ids: np.ndarray
+    byte_zero: int
+
+    @staticmethod
+    def build(hashes: np.ndarray, times: np.ndarray, ids: np.ndarray, offsets: np.ndarray, byte_zero: int) -> Lookup:
+        order = np.lexsort((hashes, -times))
+        n = np.diff(offsets)[order]
+        ends = np.cumsum(n)
+        ids = ids[np.repeat(offsets[:-1][order] - np.r_[0, ends[:-1]], n) + np.arange(int(n.sum()))] if len(order) else ids
+        ids, offsets = as_bytes(ids, np.r_[0, ends].astype(np.int64), byte_zero)
+        table = np.full(1 << _SLOTS, -1, np.int32)
+        slot = (hashes[order] >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        table[slot[::-1]] = np.arange(len(order), dtype=np.int32)[::-1]  # of two in a slot the more frequent stays; the other is joined like a rare one
+        return Lookup(hashes[order], table, offsets, ids.astype(np.int32), byte_zero)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = self.table[(h >> np.uint64(64 - _SLOTS)).astype(np.int64)]
+        return np.where((at >= 0) & (self.hashes[at] == h), at, -1)
 
 
 def _rare(of, id_field: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = of.value.place
+        look: Lookup = of.value
         for batch in batches:
-            rare = [[u for u in dict.fromkeys(split(x.as_py() or "")) if u not in known] if x.as_py() else [] for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rare, pa.list_(pa.string()))], names=[id_field, "key", "rare"])
+            lists, sizes = [], []
+            for p in tk.pieces(batch.column(2)):
+                u = Units(p)
+                h = u.hashes()
+                rare = np.flatnonzero(look.places(h) < 0)
+                cut = np.searchsorted(rare, u.bounds)
+                for i in range(p.n):
+                    lists.append(np.unique(h[rare[cut[i] : cut[i + 1]]]))
+                    sizes.append(len(lists[-1]))
+            flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))], names=[id_field, "key", "rare"])
 
     return run
 
 
 def _encoder(of, text_at: int, names: list[str]):
-    """Last column: (unit, ids) of the row's rare units; replaced by the ids of the text."""
+    """Last column: (hash, ids) of the row's rare units; replaced by the ids of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = of.value
-        n = len(look.offsets) - 1
+        look: Lookup = of.value
+        n = len(look.hashes)
         for batch in batches:
             extra = batch.column(batch.num_columns - 1)
-            out = []
-            for x, rare in zip(batch.column(text_at), extra, strict=True):
-                text = x.as_py()
-                if not text:
-                    out.append(np.zeros(0, np.int32))
-                    continue
-                own = {r["unit"]: i for i, r in enumerate(rows)} if (rows := rare.as_py()) else {}
-                place = look.place
-                at = np.array([place[u] if u in place else n + own[u] for u in split(text)], np.int64)
-                if own:
-                    lists = [np.array(r["ids"], np.int32) for r in rows]
-                    offsets = np.concatenate([look.offsets, look.offsets[-1] + np.cumsum([len(v) for v in lists])])
-                    ids = np.concatenate([look.ids, *lists])
-                else:
-                    offsets, ids = look.offsets, look.ids
+            out, sizes = [], []
+            for p in tk.pieces(batch.column(text_at)):
+                u = Units(p)
+                h = u.hashes()
+                at = look.places(h)
+                own = extra.slice(p.first, p.n).flatten()  # hashes mean the same in every row
+                ids, offsets = look.ids, look.offsets
+                if len(own):
+                    keys, lists = own.field("hash").to_numpy(zero_copy_only=False).view(np.uint64), own.field("ids")
+                    keys, first = np.unique(keys, return_index=True)
+                    lists = lists.take(pa.array(first))
+                    more, cut = as_bytes(lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())], look.byte_zero)
+                    rare = np.flatnonzero(at < 0)
+                    at[rare] = n + np.searchsorted(keys, h[rare])
+                    ids, offsets = np.concatenate([ids, more.astype(np.int32)]), np.concatenate([offsets, offsets[-1] + cut[1:]])
                 times = offsets[at + 1] - offsets[at]
-                out.append(ids[np.repeat(offsets[at] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())])
-            sizes = np.concatenate([[0], np.cumsum([len(v) for v in out])])
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=names)
+                ends = np.r_[0, np.cumsum(times)]
+                out.append(ids[np.repeat(offsets[at] - ends[:-1], times) + np.arange(int(ends[-1]))])
+                sizes.append(np.diff(ends[u.bounds]))
+            sizes = np.r_[0, np.cumsum(np.concatenate(sizes))] if sizes else np.zeros(1, int)
+            flat = np.concatenate(out) if out else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(flat, pa.int32()))], names=names)
 
     return run
 
 
-def encode(docs: DataFrame, table: PieceTable, frequent: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
+_UNITS_A_TASK = 20_000  # the lattice of so many units is sorted in memory
+
+
+def encode(docs: DataFrame, table: PieceTable, frequent: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
     """The documents with the piece ids of their texts in `ids_col`."""
     spark = docs.sparkSession
     scratch = tk.Scratch(spark, "pieces")
-    units = docs.where(F.length(text_col) > 0).select(F.col(text_col)).mapInArrow(_counter, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    coded = scratch.save(viterbi(units, table))
-    top = tk.most_frequent(coded, "n", frequent).select("unit", "ids").toArrow()  # `frequent` rows at most
-    ids = top["ids"].combine_chunks()
-    lengths = np.array([len(v) for v in ids.to_pylist()], np.int64) if not len(ids) else np.diff(ids.offsets.to_numpy())
-    look = Lookup({u: i for i, u in enumerate(top["unit"].to_pylist())}, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), ids.flatten().to_numpy().astype(np.int32))
+    counted = docs.where(F.length(text_col) > 0).select(F.col(text_col)).mapInArrow(_counter, "hash long, unit string, n long")
+    units = scratch.save(counted.groupBy("hash").agg(F.min("unit").alias("unit"), F.sum("n").alias("n")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // _UNITS_A_TASK))
+    coded = scratch.save(viterbi(units.repartition(parts, "hash"), table))
+    scratch.drop(units)
+    top = tk.most_frequent(coded, "n", frequent).toArrow().combine_chunks()  # `frequent` rows at most
+    lists = top["ids"].combine_chunks() if top.num_rows else pa.array([], pa.list_(pa.int32()))
+    look = Lookup.build(top["hash"].to_numpy().view(np.uint64), top["n"].to_numpy(), lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())].astype(np.int64), table.byte_zero)
     shared = spark.sparkContext.broadcast(look)
     kind = docs.schema[id_col].dataType.simpleString()
     key = F.xxhash64(F.col(text_col), F.length(text_col))
-    rare = docs.select(F.col(id_col), key.alias("key"), F.col(text_col)).mapInArrow(_rare(shared, id_col), f"`{id_col}` {kind}, key long, rare array<string>")
-    rare = rare.select(F.col(id_col).alias("r_id"), F.col("key").alias("r_key"), F.explode("rare").alias("unit")).join(coded.select("unit", "ids"), "unit")
-    rare = rare.groupBy("r_id", "r_key").agg(F.collect_set(F.struct("unit", "ids")).alias("r_units"))
+    rare = docs.select(F.col(id_col), key.alias("key"), F.col(text_col)).mapInArrow(_rare(shared, id_col), f"`{id_col}` {kind}, key long, rare array<bigint>")
+    rare = rare.select(F.col(id_col).alias("r_id"), F.col("key").alias("r_key"), F.explode("rare").alias("hash")).join(coded.select("hash", "ids"), "hash")
+    rare = rare.groupBy("r_id", "r_key").agg(F.collect_set(F.struct("hash", "ids")).alias("r_units"))
     joined = docs.join(rare, docs[id_col].eqNullSafe(rare["r_id"]) & (key == rare["r_key"]), "left").select(*[docs[c] for c in docs.columns], "r_units")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{ids_col}` array<int>"
     return joined.mapInArrow(_encoder(shared, docs.columns.index(text_col), [*docs.columns, ids_col]), schema)
 
 
-def decode_ids(ids, names: list[str | int]) -> str:
-    """Text of piece ids; runs of byte pieces are joined as UTF-8."""
-    out: list[str] = []
-    raw = bytearray()
-    for i in ids:
-        v = names[i]
-        if isinstance(v, int):
-            raw.append(v)
-            continue
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-            raw.clear()
-        out.append(v)
-    if raw:
-        out.append(raw.decode("utf-8", "replace"))
-    return "".join(out)[1:]
+def decode_lists(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, cuts: np.ndarray) -> list[str]:
+    """Texts of lists of piece ids: the bytes of their pieces, less the space before the text."""
+    n = (cuts[1:] - cuts[:-1])[ids]
+    ends = np.r_[0, np.cumsum(n)]
+    flat = data[np.repeat(cuts[:-1][ids] - ends[:-1], n) + np.arange(int(ends[-1]))].tobytes()
+    at = ends[offsets].tolist()
+    return [flat[min(a + 1, b) : b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
 
 
 def _decoder(of, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = of.value
+        data, cuts = of.value
         for batch in batches:
             col = batch.column(at)
-            values, offsets = col.values.to_numpy(), col.offsets.to_numpy()
-            text = [None if not col[i].is_valid else decode_ids(values[offsets[i] : offsets[i + 1]].tolist(), pieces) for i in range(len(col))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=names)
+            out: list[str | None] = []
+            for a in range(0, len(col), 500):
+                part = col.slice(a, 500)
+                lengths = part.value_lengths().fill_null(0).to_numpy()
+                texts = decode_lists(part.flatten().to_numpy(), np.r_[0, np.cumsum(lengths)], data, cuts)
+                out += [t if ok else None for t, ok in zip(texts, part.is_valid().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=names)
 
     return run
 
 
 def decode(coded: DataFrame, table: PieceTable, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
     """The rows with the text of their piece ids in `out_col`; null ids give null, no ids the empty text."""
-    shared = coded.sparkSession.sparkContext.broadcast(table.names)
+    raw = [bytes([x]) if isinstance(x, int) else x.encode() for x in table.names]
+    flat = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
+    shared = coded.sparkSession.sparkContext.broadcast(flat)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema) + f", `{out_col}` string"
     return coded.mapInArrow(_decoder(shared, coded.columns.index(ids_col), [*coded.columns, out_col]), schema)
