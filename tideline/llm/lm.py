@@ -134,7 +134,7 @@ def features(s: ModelSettings, leaf: np.ndarray, bounds: np.ndarray) -> tuple[li
     padded[at] = leaf
     a, b, c = padded[at - 1], padded[at - 2], padded[at - 3]
     mask = np.uint64(s.rows - 1)
-    row = lambda kind, x: ((tk.mix64(x.astype(np.uint64) + np.uint64(kind << 40))) & mask).astype(np.int64)
+    row = lambda kind, x: np.maximum((tk.mix64(x.astype(np.uint64) + np.uint64(kind << 40))) & mask, np.uint64(1)).astype(np.int64)
     k = leaf // s.fan
     one = [np.zeros(n, np.int64), row(1, a), row(2, b), row(3, c), row(4, a * 2048 + b)]
     two = [row(5, k), row(6, k * 2048 + a), row(7, k * 2048 + b)]
@@ -150,17 +150,21 @@ def log_softmax(w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return z
 
 
-def step(w: np.ndarray, square: np.ndarray, rows: list[np.ndarray], target: np.ndarray, rate: float) -> None:
-    """One AdaGrad step of a softmax on a mini-batch, in place."""
+def step(w: np.ndarray, square: np.ndarray, rows: list[np.ndarray], target: np.ndarray, rate: float, bias: bool) -> None:
+    """One AdaGrad step of a softmax on a mini-batch, in place; with `bias`, the first rows are all row 0."""
     g = np.exp(log_softmax(w, rows))
     g[np.arange(len(target)), target] -= 1
     g /= np.float32(len(target))
-    flat = np.concatenate(rows)
+    flat = np.concatenate(rows[bias:])
     order = np.argsort(flat, kind="stable")
     row = flat[order]
     head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    total = np.add.reduceat(g[order % len(target)], head, axis=0)
+    sums = np.cumsum(g[order % len(target)], axis=0)  # sums of runs as differences: faster than reduceat by rows
+    total = sums[np.r_[head[1:], len(row)] - 1]
+    total[1:] -= sums[head[1:] - 1]
     row = row[head]
+    if bias:
+        row, total = np.r_[0, row], np.concatenate([g.sum(0, keepdims=True), total])
     square[row] += total * total
     w[row] -= np.float32(rate) * total / (np.sqrt(square[row]) + np.float32(1e-7))
 
@@ -180,8 +184,8 @@ def _trainer(model_of):
                 mixed = np.random.default_rng(len(h)).permutation(len(h))
                 for a in range(0, len(h), s.batch):
                     b = mixed[a : a + s.batch]
-                    step(w1, q1, [r[b] for r in one], leaf[b] // s.fan, s.rate)
-                    step(w2, q2, [r[b] for r in two], leaf[b] % s.fan, s.rate)
+                    step(w1, q1, [r[b] for r in one], leaf[b] // s.fan, s.rate, True)
+                    step(w2, q2, [r[b] for r in two], leaf[b] % s.fan, s.rate, False)
                 seen += len(h)
         if seen:
             change = np.concatenate([(w1 - m.w1).ravel(), (w2 - m.w2).ravel()]) * np.float32(seen)
