@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality import LineRules
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -23,3 +25,28 @@ WITH RECURSIVE docs AS (SELECT doc_id, text FROM documents), {SHINGLES}
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
 FROM docs d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
 """
+
+
+_W = r"[^\x20\x09-\x0D]+"
+_NAV = "('|', '»', '›', '•', '·', '>', '/', '::', '-', '–', '←', '→')"
+_PHRASES = " OR ".join(f"contains(lower(line), '{p}')" for p in LineRules().boilerplate)
+
+#: Counts and the line rules with their default thresholds.
+OP9 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_W}') AS ws FROM documents),
+g AS (SELECT doc_id, i, ws[i:i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)),
+c AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1) GROUP BY doc_id),
+s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM d),
+l AS (SELECT *, regexp_extract_all(line, '{_W}') AS w, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS again FROM s WHERE regexp_matches(line, '{_W}')),
+f AS (SELECT doc_id, again, len(w) AS n, again
+    OR len(list_filter(w, lambda x: x IN {_NAV})) > 0.2 * len(w)
+    OR length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > 0.25 * len(w)
+    OR {_PHRASES}
+    OR (len(w) >= 2 AND length(line) >= 8 AND len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x)) > 0.6 * len(w))
+    OR NOT regexp_matches(CASE WHEN rtrim(w[-1], '"''”’»)]') = '' THEN w[-1] ELSE rtrim(w[-1], '"''”’»)]') END, '[.!?…。！？।؟]$') AS fails FROM l),
+a AS (SELECT doc_id, count_if(again)::BIGINT AS n_dup_lines, count(*) AS n_lines, count_if(fails)::BIGINT AS n_failed_lines, coalesce(sum(CASE WHEN fails THEN n END), 0)::BIGINT AS lost_words FROM f GROUP BY doc_id),
+o AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_failed_lines, 0) AS n_failed_lines, coalesce(lost_words, 0) AS lost_words
+    FROM d LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_words <= {LineRules().max_lost} * n_words AS kept FROM o
+"""

@@ -38,7 +38,7 @@ class LineRules:
     symbol_share: float = 0.25
     upper_share: float = 0.6
     upper_min_words: int = 2
-    max_lost: float = 0.35
+    max_lost: float = 0.5
     min_words: int = 10
     max_repeat: float = 0.20
     boilerplate: tuple[str, ...] = (
