@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import PHRASES, TEMPLATES, ScanRules, template_words
 from .quality import LineRules
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -50,3 +51,30 @@ o AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transf
     FROM d LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_words <= {LineRules().max_lost} * n_words AS kept FROM o
 """
+
+
+_SCAN = ScanRules()
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_PHRASE_ROWS = ", ".join(f"({_sql_list(p.split())}, '{label}')" for p, label in PHRASES.items())
+_TEMPLATE_ROWS = ", ".join(f"('{label}', {_sql_list(template_words(t))}, {-(-_SCAN.percent * len(template_words(t)) // 100)})" for label, t in TEMPLATES)
+
+#: Phrases at every word, and every block with every template.
+OP7 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p(phrase, label) AS (VALUES {_PHRASE_ROWS}),
+i AS (SELECT doc_id, ws, unnest(range(0, len(ws))) AS word FROM d WHERE list_has_any(ws, ['license', 'cc'])),
+b AS (SELECT doc_id, word, label FROM i JOIN p ON ws[word + 1:word + len(phrase)] = phrase),
+pb AS (SELECT doc_id, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+t(label, words, need) AS (VALUES {_TEMPLATE_ROWS}),
+k AS (SELECT doc_id, list_distinct(ws[a + 1:a + {_SCAN.block}]) AS held FROM (SELECT doc_id, ws, unnest(range(0, len(ws), {_SCAN.step})) AS a FROM d)),
+h AS (SELECT doc_id, label, len(list_intersect(held, words)) / len(words) AS share FROM k, t WHERE len(list_intersect(held, words)) >= need),
+s AS (SELECT doc_id, max(share) AS share FROM h GROUP BY doc_id),
+u AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score FROM d LEFT JOIN pb USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN s USING (doc_id)
+"""

@@ -89,4 +89,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_ngram_join": oracles.OP8, "op9_quality": oracles.OP9}
+    return {"op7_licenses": oracles.OP7, "op8_ngram_join": oracles.OP8, "op9_quality": oracles.OP9}
