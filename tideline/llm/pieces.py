@@ -7,8 +7,8 @@ edges are grouped by unit and a Viterbi fold (`aggregate`) keeps, for each posit
 path of the largest total score, then of the fewest pieces, then with the longer last piece.
 A character that is no piece is an edge of its UTF-8 bytes, scored below every piece.
 
-Documents look up the `frequent` most frequent units in a broadcast table of that size; the
-rest of their units are joined.
+Documents look up the `frequent` most frequent units in a table of that size, which every
+worker reads once from the shared folder; the rest of their units, if any, are joined.
 
 Defined cases: null and empty texts have no pieces. A space is put before every text and
 taken away again by `decode`; U+2581 in a text is written as bytes, so that decoding gives
@@ -25,6 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +37,12 @@ tk.ship(__name__)
 MOST, SPACES = 48, 16
 _UNITS = re.compile(rf" {{0,{SPACES}}}[^\W\d_]{{1,{MOST}}}| {{0,{SPACES}}}(?:[^\w ]|_){{1,{MOST}}}|\d| {{1,{SPACES}}}").findall
 SPACE, LETTER, DIGIT, OTHER = range(4)
-_CLASSES: list[np.ndarray] = []
 
 
 def classes() -> np.ndarray:
-    """Class of every code point, as the unit pattern sees it; built once a process."""
-    if not _CLASSES:
+    """Class of every code point, as the unit pattern sees it."""
+
+    def make():
         table = np.full(0x110000, OTHER, np.uint8)
         text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         at = np.r_[0:0xD800, 0xE000:0x110000]
@@ -48,8 +50,9 @@ def classes() -> np.ndarray:
             for m in re.finditer(pattern, text):
                 table[at[m.start() : m.end()]] = name
         table[32] = SPACE
-        _CLASSES.append(table)
-    return _CLASSES[0]
+        return table
+
+    return tk.kept("classes", make)
 
 
 @dataclass(frozen=True)
@@ -143,6 +146,7 @@ class Units:
 
 
 _FLUSH = 1_000_000
+_PIECE = 1 << 18
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +162,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(h[order][head].view(np.int64)), units, pa.array(np.add.reduceat(n[order], head))], names=["hash", "unit", "n"])
 
     for batch in batches:
-        for p in tk.pieces(batch.column(0)):
+        for p in tk.pieces(batch.column(0), _PIECE):
             u = Units(p)
             h, first, n = np.unique(u.hashes(), return_index=True, return_counts=True)
             held.append((h, n, u.texts(first)))
@@ -219,44 +223,70 @@ def as_bytes(ids: np.ndarray, offsets: np.ndarray, byte_zero: int) -> tuple[np.n
     return out, first[offsets]
 
 
-_SLOTS = 22
-
-
 @dataclass(frozen=True)
 class Lookup:
-    """Ids of frequent units, by hash; `table` leads from a hash's slot to its place."""
+    """Ids of units by hash: sorted hashes, and the first place of each range of their top bits."""
 
     hashes: np.ndarray
-    table: np.ndarray
+    starts: np.ndarray
     offsets: np.ndarray
     ids: np.ndarray
-    byte_zero: int
+    shift: np.uint64
 
     @staticmethod
-    def build(hashes: np.ndarray, times: np.ndarray, ids: np.ndarray, offsets: np.ndarray, byte_zero: int) -> Lookup:
-        order = np.lexsort((hashes, -times))
-        n = np.diff(offsets)[order]
-        ends = np.cumsum(n)
-        ids = ids[np.repeat(offsets[:-1][order] - np.r_[0, ends[:-1]], n) + np.arange(int(n.sum()))] if len(order) else ids
-        ids, offsets = as_bytes(ids, np.r_[0, ends].astype(np.int64), byte_zero)
-        table = np.full(1 << _SLOTS, -1, np.int32)
-        slot = (hashes[order] >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        table[slot[::-1]] = np.arange(len(order), dtype=np.int32)[::-1]  # of two in a slot the more frequent stays; the other is joined like a rare one
-        return Lookup(hashes[order], table, offsets, ids.astype(np.int32), byte_zero)
+    def load(uri: str, byte_zero: int) -> Lookup:
+        """The table under a folder, in files sorted by hash one after another; once a process."""
+
+        def make():
+            fs, base = pafs.FileSystem.from_uri(uri)
+            files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet"))
+            hashes, ids, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            for f in files:
+                t = pq.read_table(f, columns=["hash", "ids"], filesystem=fs)
+                for batch in t.to_batches():
+                    n = batch["ids"].value_lengths().to_numpy()
+                    flat, cuts = as_bytes(batch["ids"].flatten().to_numpy(), np.r_[0, np.cumsum(n)], byte_zero)
+                    hashes.append(batch["hash"].to_numpy().view(np.uint64))
+                    ids.append(flat.astype(np.int32))
+                    lengths.append(np.diff(cuts).astype(np.int32))
+            return Lookup.build(np.concatenate(hashes), np.concatenate(lengths), np.concatenate(ids))
+
+        return tk.kept(("lookup", uri), make)
+
+    @staticmethod
+    def build(hashes: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> Lookup:
+        """From rows in the order of signed hashes."""
+        offsets = np.r_[0, np.cumsum(lengths)].astype(np.int64)
+        bits = max(1, len(hashes).bit_length())
+        shift = np.uint64(64 - bits)
+        flipped = hashes ^ np.uint64(1 << 63)  # signed order as unsigned
+        starts = np.searchsorted(flipped, np.arange(1 << bits, dtype=np.uint64) << shift)
+        return Lookup(flipped, np.r_[starts, len(hashes)].astype(np.int32), offsets, ids, shift)
 
     def places(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
         if not len(self.hashes):
-            return np.full(len(h), -1)
-        at = self.table[(h >> np.uint64(64 - _SLOTS)).astype(np.int64)]
-        return np.where((at >= 0) & (self.hashes[at] == h), at, -1)
-
-
-def _rare(of, id_field: str):
+            return out
+        h = h ^ np.uint64(1 << 63)
+        slot = (h >> self.shift).astype(np.int64)
+        at, end = self.starts[slot], self.starts[slot + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            found = self.hashes[at[left]] == h[left]
+            out[left[found]] = at[left[found]]
+            left = left[~found]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
+def _rare(uri: str, byte_zero: int, id_field: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look: Lookup = of.value
+        look = Lookup.load(uri, byte_zero)
         for batch in batches:
             lists, sizes = [], []
-            for p in tk.pieces(batch.column(2)):
+            for p in tk.pieces(batch.column(2), _PIECE):
                 u = Units(p)
                 h = u.hashes()
                 rare = np.flatnonzero(look.places(h) < 0)
@@ -270,16 +300,16 @@ def _rare(of, id_field: str):
     return run
 
 
-def _encoder(of, text_at: int, names: list[str]):
+def _encoder(uri: str, byte_zero: int, text_at: int, names: list[str]):
     """Last column: (hash, ids) of the row's rare units; replaced by the ids of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look: Lookup = of.value
+        look = Lookup.load(uri, byte_zero)
         n = len(look.hashes)
         for batch in batches:
             extra = batch.column(batch.num_columns - 1)
             out, sizes = [], []
-            for p in tk.pieces(batch.column(text_at)):
+            for p in tk.pieces(batch.column(text_at), _PIECE):
                 u = Units(p)
                 h = u.hashes()
                 at = look.places(h)
@@ -289,7 +319,7 @@ def _encoder(of, text_at: int, names: list[str]):
                     keys, lists = own.field("hash").to_numpy(zero_copy_only=False).view(np.uint64), own.field("ids")
                     keys, first = np.unique(keys, return_index=True)
                     lists = lists.take(pa.array(first))
-                    more, cut = as_bytes(lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())], look.byte_zero)
+                    more, cut = as_bytes(lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())], byte_zero)
                     rare = np.flatnonzero(at < 0)
                     at[rare] = n + np.searchsorted(keys, h[rare])
                     ids, offsets = np.concatenate([ids, more.astype(np.int32)]), np.concatenate([offsets, offsets[-1] + cut[1:]])
@@ -307,27 +337,33 @@ def _encoder(of, text_at: int, names: list[str]):
 _UNITS_A_TASK = 20_000  # the lattice of so many units is sorted in memory
 
 
-def encode(docs: DataFrame, table: PieceTable, frequent: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, frequent: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
     """The documents with the piece ids of their texts in `ids_col`."""
     spark = docs.sparkSession
     scratch = tk.Scratch(spark, "pieces")
     counted = docs.where(F.length(text_col) > 0).select(F.col(text_col)).mapInArrow(_counter, "hash long, unit string, n long")
     units = scratch.save(counted.groupBy("hash").agg(F.min("unit").alias("unit"), F.sum("n").alias("n")))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // _UNITS_A_TASK))
+    del counted
+    scratch.settle()
+    total = units.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // _UNITS_A_TASK))
     coded = scratch.save(viterbi(units.repartition(parts, "hash"), table))
     scratch.drop(units)
-    top = tk.most_frequent(coded, "n", frequent).toArrow().combine_chunks()  # `frequent` rows at most
-    lists = top["ids"].combine_chunks() if top.num_rows else pa.array([], pa.list_(pa.int32()))
-    look = Lookup.build(top["hash"].to_numpy().view(np.uint64), top["n"].to_numpy(), lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())].astype(np.int64), table.byte_zero)
-    shared = spark.sparkContext.broadcast(look)
+    top = tk.most_frequent(coded, "n", frequent)
+    held = scratch.save(top.select("hash", "ids").repartitionByRange(8, "hash").sortWithinPartitions("hash"))  # `frequent` rows at most: about 25 bytes each
+    scratch.settle()
+    uri, zero = held._tideline_path, table.byte_zero
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     kind = docs.schema[id_col].dataType.simpleString()
     key = F.xxhash64(F.col(text_col), F.length(text_col))
-    rare = docs.select(F.col(id_col), key.alias("key"), F.col(text_col)).mapInArrow(_rare(shared, id_col), f"`{id_col}` {kind}, key long, rare array<bigint>")
-    rare = rare.select(F.col(id_col).alias("r_id"), F.col("key").alias("r_key"), F.explode("rare").alias("hash")).join(coded.select("hash", "ids"), "hash")
-    rare = rare.groupBy("r_id", "r_key").agg(F.collect_set(F.struct("hash", "ids")).alias("r_units"))
-    joined = docs.join(rare, docs[id_col].eqNullSafe(rare["r_id"]) & (key == rare["r_key"]), "left").select(*[docs[c] for c in docs.columns], "r_units")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{ids_col}` array<int>"
-    return joined.mapInArrow(_encoder(shared, docs.columns.index(text_col), [*docs.columns, ids_col]), schema)
+    if total <= frequent:
+        joined = docs.withColumn("r_units", F.array().cast("array<struct<hash:bigint,ids:array<int>>>"))  # every unit is in the table
+    else:
+        rare = docs.select(F.col(id_col), key.alias("key"), F.col(text_col)).mapInArrow(_rare(uri, zero, id_col), f"`{id_col}` {kind}, key long, rare array<bigint>")
+        rare = rare.select(F.col(id_col).alias("r_id"), F.col("key").alias("r_key"), F.explode("rare").alias("hash")).join(coded.select("hash", "ids"), "hash")
+        rare = rare.groupBy("r_id", "r_key").agg(F.collect_set(F.struct("hash", "ids")).alias("r_units"))
+        joined = docs.join(rare, docs[id_col].eqNullSafe(rare["r_id"]) & (key == rare["r_key"]), "left").select(*[docs[c] for c in docs.columns], "r_units")
+    return joined.mapInArrow(_encoder(uri, zero, docs.columns.index(text_col), [*docs.columns, ids_col]), f"{schema}, `{ids_col}` array<int>")
 
 
 def decode_lists(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, cuts: np.ndarray) -> list[str]:

@@ -8,6 +8,7 @@ bytes inside a longer character, so byte words equal character words.
 
 from __future__ import annotations
 
+import gc
 import sys
 import uuid
 from collections.abc import Iterator
@@ -47,18 +48,25 @@ _FOLDED[65:91] = _TABLE[97:123]
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MULT = mix64(np.arange(1001, 1041, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
-_POWERS: dict[int, np.ndarray] = {}
+def kept(key, make):
+    """A value made once a process and kept: functions are pickled by value, so a task's globals are new each time."""
+    store = vars(sys).setdefault("_tideline_kept", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. n-1 modulo 2**64; grown by doubling and kept."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
+    """base ** 0 .. n-1 modulo 2**64; kept, rounded up to a power of two."""
+    size = max(PIECE, 1 << max(0, n - 1).bit_length())
+
+    def make():
         out = np.ones(1, np.uint64)
-        while len(out) < max(n, PIECE):
+        while len(out) < size:
             out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-        _POWERS[base] = have = out
-    return have[:n]
+        return out
+
+    return kept(("powers", base, size), make)[:n] if size == PIECE else make()[:n]
 
 
 class Piece:
@@ -173,6 +181,11 @@ class Scratch:
         out._tideline_path = path
         return out
 
+    def settle(self) -> None:
+        """Let go of the shuffle files of finished jobs: Spark deletes them when the driver's references are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
