@@ -235,7 +235,7 @@ class Lookup:
 
     @staticmethod
     def load(uri: str, byte_zero: int) -> Lookup:
-        """The table under a folder, in files sorted by hash one after another; once a process."""
+        """The table under a folder, in files sorted by hash one after another; the last one used is kept."""
 
         def make():
             fs, base = pafs.FileSystem.from_uri(uri)
@@ -251,15 +251,18 @@ class Lookup:
                     lengths.append(np.diff(cuts).astype(np.int32))
             return Lookup.build(np.concatenate(hashes), np.concatenate(lengths), np.concatenate(ids))
 
-        return tk.kept(("lookup", uri), make)
+        return tk.kept("lookup", make, uri)
 
     @staticmethod
     def build(hashes: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> Lookup:
         """From rows in the order of signed hashes."""
         offsets = np.r_[0, np.cumsum(lengths)].astype(np.int64)
+        if offsets[-1] < 1 << 31:
+            offsets = offsets.astype(np.int32)
         bits = max(1, len(hashes).bit_length())
         shift = np.uint64(64 - bits)
         flipped = hashes ^ np.uint64(1 << 63)  # signed order as unsigned
+        ids = ids.astype(np.uint16) if len(ids) == 0 or ids.max() < 1 << 16 else ids
         starts = np.searchsorted(flipped, np.arange(1 << bits, dtype=np.uint64) << shift)
         return Lookup(flipped, np.r_[starts, len(hashes)].astype(np.int32), offsets, ids, shift)
 
@@ -300,36 +303,51 @@ def _rare(uri: str, byte_zero: int, id_field: str):
     return run
 
 
+_ROWS = 256  # results go out in batches of so many rows, so that ids of few texts are held at once
+
+
 def _encoder(uri: str, byte_zero: int, text_at: int, names: list[str]):
     """Last column: (hash, ids) of the row's rare units; replaced by the ids of the text."""
 
+    def ids_of(look: Lookup, texts: pa.Array, extra: pa.Array) -> pa.Array:
+        n = len(look.hashes)
+        out, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for p in tk.pieces(texts, _PIECE):
+            u = Units(p)
+            h = u.hashes()
+            at = look.places(h)
+            own = extra.slice(p.first, p.n).flatten()  # hashes mean the same in every row
+            times = np.where(at >= 0, look.offsets[at + 1] - look.offsets[at], 0) if n else np.zeros(len(h), np.int64)
+            first = look.offsets[at] if n else np.zeros(len(h), np.int64)
+            ids = look.ids
+            if len(own):
+                keys, lists = own.field("hash").to_numpy(zero_copy_only=False).view(np.uint64), own.field("ids")
+                keys, head = np.unique(keys, return_index=True)
+                lists = lists.take(pa.array(head))
+                more, cut = as_bytes(lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())], byte_zero)
+                rare = np.flatnonzero(at < 0)
+                place = np.searchsorted(keys, h[rare])
+                times[rare], first[rare] = (cut[1:] - cut[:-1])[place], len(ids) + cut[:-1][place]
+                known = first < len(ids)
+                ends = np.r_[0, np.cumsum(times)]
+                where = np.repeat(first - ends[:-1], times) + np.arange(int(ends[-1]))
+                here = np.repeat(known, times)
+                flat = np.empty(len(where), np.int32)
+                flat[here] = ids[where[here]]
+                flat[~here] = more[where[~here] - len(ids)]
+            else:
+                ends = np.r_[0, np.cumsum(times)]
+                flat = ids[np.repeat(first - ends[:-1], times) + np.arange(int(ends[-1]))].astype(np.int32)
+            out.append(flat)
+            sizes.append(np.diff(ends[u.bounds]))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(out), pa.int32()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup.load(uri, byte_zero)
-        n = len(look.hashes)
         for batch in batches:
-            extra = batch.column(batch.num_columns - 1)
-            out, sizes = [], []
-            for p in tk.pieces(batch.column(text_at), _PIECE):
-                u = Units(p)
-                h = u.hashes()
-                at = look.places(h)
-                own = extra.slice(p.first, p.n).flatten()  # hashes mean the same in every row
-                ids, offsets = look.ids, look.offsets
-                if len(own):
-                    keys, lists = own.field("hash").to_numpy(zero_copy_only=False).view(np.uint64), own.field("ids")
-                    keys, first = np.unique(keys, return_index=True)
-                    lists = lists.take(pa.array(first))
-                    more, cut = as_bytes(lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())], byte_zero)
-                    rare = np.flatnonzero(at < 0)
-                    at[rare] = n + np.searchsorted(keys, h[rare])
-                    ids, offsets = np.concatenate([ids, more.astype(np.int32)]), np.concatenate([offsets, offsets[-1] + cut[1:]])
-                times = offsets[at + 1] - offsets[at]
-                ends = np.r_[0, np.cumsum(times)]
-                out.append(ids[np.repeat(offsets[at] - ends[:-1], times) + np.arange(int(ends[-1]))])
-                sizes.append(np.diff(ends[u.bounds]))
-            sizes = np.r_[0, np.cumsum(np.concatenate(sizes))] if sizes else np.zeros(1, int)
-            flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(flat, pa.int32()))], names=names)
+            for a in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(a, _ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids_of(look, part.column(text_at), part.column(part.num_columns - 1))], names=names)
 
     return run
 
@@ -379,14 +397,13 @@ def _decoder(of, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, cuts = of.value
         for batch in batches:
-            col = batch.column(at)
-            out: list[str | None] = []
-            for a in range(0, len(col), 500):
-                part = col.slice(a, 500)
-                lengths = part.value_lengths().fill_null(0).to_numpy()
-                texts = decode_lists(part.flatten().to_numpy(), np.r_[0, np.cumsum(lengths)], data, cuts)
-                out += [t if ok else None for t, ok in zip(texts, part.is_valid().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=names)
+            for a in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(a, _ROWS)
+                col = part.column(at)
+                lengths = col.value_lengths().fill_null(0).to_numpy()
+                texts = decode_lists(col.flatten().to_numpy(), np.r_[0, np.cumsum(lengths)], data, cuts)
+                out = [t if ok else None for t, ok in zip(texts, col.is_valid().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=names)
 
     return run
 

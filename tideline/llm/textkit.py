@@ -48,12 +48,13 @@ _FOLDED[65:91] = _TABLE[97:123]
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MULT = mix64(np.arange(1001, 1041, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
-def kept(key, make):
-    """A value made once a process and kept: functions are pickled by value, so a task's globals are new each time."""
+def kept(key, make, of=None):
+    """A value made once a process and kept while `of` is the same: functions are pickled by value, so a task's globals are new each time."""
     store = vars(sys).setdefault("_tideline_kept", {})
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if key not in store or store[key][0] != of:
+        store.pop(key, None)
+        store[key] = (of, make())
+    return store[key][1]
 
 
 def powers(base: int, n: int) -> np.ndarray:
