@@ -240,31 +240,29 @@ class Lookup:
         def make():
             fs, base = pafs.FileSystem.from_uri(uri)
             files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet"))
-            hashes, ids, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-            for f in files:
-                t = pq.read_table(f, columns=["hash", "ids"], filesystem=fs)
-                for batch in t.to_batches():
-                    n = batch["ids"].value_lengths().to_numpy()
-                    flat, cuts = as_bytes(batch["ids"].flatten().to_numpy(), np.r_[0, np.cumsum(n)], byte_zero)
-                    hashes.append(batch["hash"].to_numpy().view(np.uint64))
-                    ids.append(flat.astype(np.int32))
-                    lengths.append(np.diff(cuts).astype(np.int32))
-            return Lookup.build(np.concatenate(hashes), np.concatenate(lengths), np.concatenate(ids))
+            n = sum(pq.read_metadata(f, filesystem=fs).num_rows for f in files)
+            hashes, lengths, ids, at = np.zeros(n, np.uint64), np.zeros(n, np.int32), [], 0
+            for f in files:  # small batches, narrow types: a worker holds little beside the table itself
+                for batch in pq.ParquetFile(f, filesystem=fs).iter_batches(1 << 16, columns=["hash", "ids"], use_threads=False):
+                    flat, cuts = as_bytes(batch["ids"].flatten().to_numpy(), np.r_[0, np.cumsum(batch["ids"].value_lengths().to_numpy())], byte_zero)
+                    hashes[at : at + len(batch)] = batch["hash"].to_numpy().view(np.uint64)
+                    lengths[at : at + len(batch)] = np.diff(cuts)
+                    ids.append(flat.astype(np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.int32))
+                    at += len(batch)
+            return Lookup.build(hashes, lengths, np.concatenate(ids) if ids else np.zeros(0, np.uint16))
 
         return tk.kept("lookup", make, uri)
 
     @staticmethod
     def build(hashes: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> Lookup:
         """From rows in the order of signed hashes."""
-        offsets = np.r_[0, np.cumsum(lengths)].astype(np.int64)
-        if offsets[-1] < 1 << 31:
-            offsets = offsets.astype(np.int32)
-        bits = max(1, len(hashes).bit_length())
+        offsets = np.zeros(len(lengths) + 1, np.int32 if lengths.sum(dtype=np.int64) < 1 << 31 else np.int64)
+        np.cumsum(lengths, out=offsets[1:])
+        bits = max(1, len(hashes).bit_length() - 1)
         shift = np.uint64(64 - bits)
-        flipped = hashes ^ np.uint64(1 << 63)  # signed order as unsigned
-        ids = ids.astype(np.uint16) if len(ids) == 0 or ids.max() < 1 << 16 else ids
-        starts = np.searchsorted(flipped, np.arange(1 << bits, dtype=np.uint64) << shift)
-        return Lookup(flipped, np.r_[starts, len(hashes)].astype(np.int32), offsets, ids, shift)
+        hashes = hashes ^ np.uint64(1 << 63)  # signed order as unsigned
+        counts = np.bincount((hashes >> shift).view(np.int64), minlength=1 << bits)
+        return Lookup(hashes, np.r_[0, np.cumsum(counts)].astype(np.int32), offsets, ids, shift)
 
     def places(self, h: np.ndarray) -> np.ndarray:
         """Place of each hash, or -1."""
