@@ -284,6 +284,26 @@ def test_ngram_join_on_groups_of_edited_copies(spark, words, postings):
     assert {r["doc_id"] for r in ngramjoin.keep_one(docs).collect()} == {c for _, _, c in got}
 
 
+@pytest.mark.parametrize("rules", [{}, {"hot": 3, "block": 4}, {"hot": 1, "block_grams": 100}, {"hot": 6, "block": 1000}])
+def test_ngram_join_counts_every_link(spark, words, rules):
+    rng = random.Random(22)
+    rows = []
+    for _ in range(6):
+        base = [rng.choice(words) for _ in range(rng.randint(30, 90))]
+        for _ in range(rng.randint(2, 40)):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                w[rng.randrange(len(w))] = rng.choice(base[:3])
+            rows.append((len(rows), " ".join(w)))
+    sets = {frozenset(sets_of(t)) for _, t in rows}
+    near = {s: sum(s is not o and 100 * len(s & o) >= 75 * len(s | o) for o in sets) for s in sets}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in ngramjoin.join_components(docs, ngramjoin.JoinRules(**rules)).collect()}
+    assert got == {i: near[frozenset(sets_of(t))] for i, t in rows} and max(got.values()) > 10
+    pairs = [frozenset((r["a"], r["b"])) for r in ngramjoin.link(docs, ngramjoin.JoinRules(**rules), want="pairs").links.collect()]
+    assert len(set(pairs)) == len(pairs) == sum(near.values()) // 2
+
+
 def test_ngram_join_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")

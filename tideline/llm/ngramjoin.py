@@ -9,8 +9,10 @@ per pair.
 
 Equal sets are one node, so groups of copies never make pairs. Candidates come in two
 steps: every bucket first links its members to one pivot, and only pairs that are then
-still in different components are joined within the bucket. Links left out are between
-sets that are already connected; no link that joins two components is lost.
+still in different components are joined within the bucket. That spans every component but
+leaves out links between sets that are already connected. Where the links themselves are
+asked for, all of them are verified: pairs of small buckets one by one, members of hot
+buckets block against block, each pair in one of the two only.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing, and is its
 own component. Texts of fewer words than a shingle are one shingle of the whole. Rows with
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +41,18 @@ tk.ship(__name__)
 
 @dataclass(frozen=True)
 class JoinRules:
-    """Jaccard threshold as a percentage; `postings` is about what one fragment holds."""
+    """Jaccard threshold as a percentage; `postings` is about what one fragment holds.
+
+    Buckets of more than `hot` sets are compared in blocks of about `block` sets and `block_grams` shingles.
+    """
 
     width: int = 5
     percent: int = 75
     postings: int = 4_000_000
     overlap_parts: int = 4
+    hot: int = 32
+    block: int = 1024
+    block_grams: int = 1 << 20
 
 
 def _set_key(s: np.ndarray) -> int:
@@ -224,18 +233,115 @@ def _may_link(na, nb, ra, rb, percent: int):
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(ra, rb) * (100 + percent) >= need)
 
 
+_COLUMNS = 2048  # shingles of one matrix product
+
+
+def _block_links(percent: int, pairs: bool):
+    """The sets of two blocks, or of one -> their links (a, b), or the number of links of each set."""
+
+    def side(table: pa.Table, which: int):
+        t = table.filter(pc.equal(table["side"], which)).combine_chunks()
+        grams = t["grams"].combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int64()))
+        n = t["n"].to_numpy().astype(np.int64)
+        return t["set_key"].to_numpy(), n, np.repeat(np.arange(len(n)), grams.value_lengths().to_numpy(zero_copy_only=False)), grams.flatten().to_numpy()
+
+    def run(table: pa.Table) -> pa.Table:
+        ka, na, ra, ga = side(table, 0)
+        kb, nb, rb, gb = side(table, 1)
+        one = not len(kb)
+        if one:
+            kb, nb, rb, gb = ka, na, ra, ga
+        both = np.intersect1d(ga, gb)
+        overlap = np.zeros((len(ka), len(kb)), np.int32)
+        at, bt = np.searchsorted(both, ga), np.searchsorted(both, gb)
+        at[np.append(both, 0)[at] != ga] = len(both)
+        bt[np.append(both, 0)[bt] != gb] = len(both)
+        oa, ob = np.argsort(at, kind="stable"), np.argsort(bt, kind="stable")
+        for c in range(0, len(both), _COLUMNS):
+            e = min(c + _COLUMNS, len(both))
+            x, y = np.zeros((len(ka), e - c), np.float32), np.zeros((len(kb), e - c), np.float32)
+            for m, o, t, r in ((x, oa, at, ra), (y, ob, bt, rb)):
+                held = o[np.searchsorted(t[o], c) : np.searchsorted(t[o], e)]
+                m[r[held], t[held] - c] = 1
+            overlap += (x @ y.T).astype(np.int32)
+        ok = overlap.astype(np.int64) * (100 + percent) >= (na[:, None] + nb[None, :]) * percent
+        if one:
+            ok = np.triu(ok, 1)
+        if pairs:
+            i, j = np.nonzero(ok)
+            return pa.table({"a": pa.array(ka[i], pa.int64()), "b": pa.array(kb[j], pa.int64())})
+        keys, times = np.r_[ka, kb], np.r_[ok.sum(1), ok.sum(0)]
+        return pa.table({"node": pa.array(keys[times > 0], pa.int64()), "n_links": pa.array(times[times > 0], pa.int64())})
+
+    return run
+
+
+def _partners(early: DataFrame, postings: DataFrame, rules: JoinRules, *also) -> DataFrame:
+    """Candidates (a, b, na, nb) of buckets, smaller set first, each once; `also`: conditions on x and y."""
+    x, y = early.alias("x"), postings.alias("y")
+    on = (F.col("x.gram") == F.col("y.gram")) & (F.struct("x.n", "x.set_key") < F.struct("y.n", "y.set_key"))
+    on &= _may_link(F.col("x.n"), F.col("y.n"), F.col("x.rest"), F.col("y.rest"), rules.percent)
+    for c in also:
+        on &= c
+    found = x.join(y, on)
+    return found.select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+
+
+def _early(postings: DataFrame, rules: JoinRules) -> DataFrame:
+    """The smaller set of a link has its shared shingle early enough, so only such postings look for partners."""
+    return postings.where(F.col("rest") * (100 + rules.percent) >= 2 * rules.percent * F.col("n"))
+
+
+def _every_link(postings: DataFrame, alive: DataFrame, rules: JoinRules, scratch: tk.Scratch, pairs: bool) -> DataFrame:
+    """All links (a, b) between different sets, or (node, n_links).
+
+    Sets of hot buckets are dealt into blocks by the largest of these buckets; two blocks with a hot
+    bucket in common are compared whole. Pairs of small buckets count where their blocks are not.
+    """
+    hot = postings.where(F.col("size") > rules.hot)
+    home = hot.groupBy("set_key").agg(F.max(F.struct("size", "gram"))["gram"].alias("home"))
+    members = alive.join(home, "set_key").select("set_key", "home", F.size("grams").alias("m"))
+    split = members.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / rules.block, F.sum("m") / rules.block_grams)).alias("blocks"))
+    block = F.struct("home", F.pmod(F.xxhash64("set_key"), F.col("blocks")).alias("i")).alias("block")
+    placed = scratch.save(members.join(split, "home").select("set_key", block))
+    touched = hot.join(placed, "set_key").select("gram", "block").distinct()
+    x, y = touched.select("gram", F.col("block").alias("x")), touched.select("gram", F.col("block").alias("y"))
+    met = scratch.save(x.join(y, "gram").where(F.col("x") <= F.col("y")).select("x", "y").distinct())
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("block")), F.struct(F.lit(1).alias("side"), F.col("y").alias("block")))
+    sides = met.select("x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.slice(ends, 1, 1)).otherwise(ends)).alias("end")).select("x", "y", "end.side", "end.block")
+    sent = sides.join(placed.join(alive, "set_key"), "block").select("x", "y", "side", "set_key", "n", "grams")
+    near = sent.groupBy("x", "y").applyInArrow(_block_links(rules.percent, pairs), "a long, b long" if pairs else "node long, n_links long")
+    small = postings.where(F.col("size") <= rules.hot)
+    alone = _partners(_early(small, rules), small, rules)
+    for end in ("a", "b"):
+        alone = alone.join(placed.select(F.col("set_key").alias(end), F.col("block").alias(f"block_{end}")), end, "left")
+    seen = (F.least("block_a", "block_b") == F.col("x")) & (F.greatest("block_a", "block_b") == F.col("y")) & F.col("block_a").isNotNull() & F.col("block_b").isNotNull()
+    alone = _verified(alone.join(met, seen, "left_anti").select("a", "b", "na", "nb"), alive, rules)
+    if pairs:
+        out = scratch.save(near.unionByName(alone))
+    else:
+        one = alone.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n_links"))
+        out = scratch.save(near.unionByName(one).groupBy("node").agg(F.sum("n_links").alias("n_links")))
+    scratch.drop(placed, met)
+    return out
+
+
 @dataclass(frozen=True)
 class Linked:
-    """sets: (id, n_shingles, set_key) a document; nodes: (set_key, component) of sets in links; classes: (set_key, least id)."""
+    """sets: (id, n_shingles, set_key) a document; nodes: (set_key, component) of sets in links; links: as asked for."""
 
     sets: DataFrame
     nodes: DataFrame
-    links: DataFrame
+    links: DataFrame | None
     scratch: tk.Scratch
 
 
-def link(docs: DataFrame, rules: JoinRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> Linked:
-    """Sizes of all sets, and the components of the sets that are linked with another set."""
+def link(docs: DataFrame, rules: JoinRules | None = None, id_col: str = "doc_id", text_col: str = "text", want: str = "counts") -> Linked:
+    """Sizes of all sets, the components of the sets that are linked with another set, and all links.
+
+    want: "counts" gives links as (node, n_links), "pairs" as (a, b) of set keys; "groups" gives none of
+    them and verifies only the links that the components need.
+    """
     rules = rules or JoinRules()
     spark = docs.sparkSession
     scratch = tk.Scratch(spark, "ngramjoin")
@@ -253,37 +359,36 @@ def link(docs: DataFrame, rules: JoinRules | None = None, id_col: str = "doc_id"
     prefix = prefix.select("gram", "set_key", "n", (F.col("m") - F.col("pos")).cast("long").alias("rest"), (F.col("m") / F.col("n")).alias("share"))
     # Step one: each bucket's members with its pivot, the set of which the largest share is shared.
     pivot = prefix.groupBy("gram").agg(F.max(F.struct("share", "n", "set_key", "rest")).alias("p"), F.count("*").alias("size")).where("size > 1")
-    postings = scratch.save(prefix.join(pivot.select("gram", "p"), "gram"))
+    postings = scratch.save(prefix.join(pivot, "gram"))
     stars = postings.where(F.col("set_key") != F.col("p.set_key")).where(_may_link(F.col("n"), F.col("p.n"), F.col("rest"), F.col("p.rest"), rules.percent))
     stars = stars.select(F.col("p.set_key").alias("a"), F.col("set_key").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")).distinct()
     links = scratch.save(_verified(stars, alive, rules))
     nodes = components(links, scratch)
-    # Step two: in buckets of several components, pairs across them. The smaller set of a link has its
-    # shared shingle early enough, so only such postings look for partners.
+    # Step two: in buckets of several components, pairs across them.
     label = F.coalesce("component", "set_key").alias("label")
     marked = postings.join(nodes, postings["set_key"] == nodes["node"], "left").select("gram", "set_key", "n", "rest", label)
     mixed = marked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
     marked = scratch.save(marked.join(mixed, "gram"))
-    early = marked.where(F.col("rest") * (100 + rules.percent) >= 2 * rules.percent * F.col("n"))
-    x, y = early.alias("x"), marked.alias("y")
-    across = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & (F.struct("x.n", "x.set_key") < F.struct("y.n", "y.set_key"))
-    rest = x.join(y, across & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.rest"), F.col("y.rest"), rules.percent))
-    rest = rest.select(F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+    rest = _partners(_early(marked, rules), marked, rules, F.col("x.label") != F.col("y.label"))
     more = scratch.save(_verified(rest, alive, rules))
     both = links.unionByName(more)
     if more.limit(1).count():
         nodes = components(both, scratch)
+    every = None if want == "groups" else _every_link(postings, alive, rules, scratch, want == "pairs")
     scratch.drop(postings, marked, alive)
-    return Linked(sets, nodes, both, scratch)
+    return Linked(sets, nodes, every, scratch)
 
 
 def join_components(docs: DataFrame, rules: JoinRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, n_links) of every document; n_links: verified links of its set with other sets."""
+    """(id, n_shingles, component_id, n_links) of every document; n_links: other sets that its set is linked with, all of them verified."""
     linked = link(docs, rules, id_col, text_col)
+    return _labelled(linked, linked.nodes.join(linked.links, "node", "left"), id_col)
+
+
+def _labelled(linked: Linked, nodes: DataFrame, id_col: str) -> DataFrame:
     sets = linked.sets
     classes = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min(id_col).alias("least"), F.count("*").alias("copies"))
-    ends = linked.links.select(F.col("a").alias("node")).unionAll(linked.links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    nodes = linked.nodes.join(ends, "node", "left").withColumnRenamed("node", "set_key")
+    nodes = nodes.withColumnRenamed("node", "set_key")
     known = classes.join(nodes, "set_key", "left")
     grouped = known.where("component is not null").groupBy("component").agg(F.min("least").alias("group_least"))
     # Only sets with a copy or a link need a lookup; all others are their own component.
@@ -295,5 +400,6 @@ def join_components(docs: DataFrame, rules: JoinRules | None = None, id_col: str
 
 def keep_one(docs: DataFrame, rules: JoinRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, that of the smallest id; documents with equal ids stay or go together."""
-    found = join_components(docs, rules, id_col, text_col).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone")).distinct()
+    linked = link(docs, rules, id_col, text_col, "groups")
+    found = _labelled(linked, linked.nodes.withColumn("n_links", F.lit(None).cast("long")), id_col).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone")).distinct()
     return docs.join(found, docs[id_col].eqNullSafe(found["gone"]), "left_anti")
