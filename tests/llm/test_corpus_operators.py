@@ -320,6 +320,15 @@ def test_components_of_a_long_chain(spark):
     assert got == {x: min(order[:100]) for x in order[:100]} | {x: min(order[100:]) for x in order[100:]}
 
 
+def test_components_of_a_shuffled_chain_of_thousands(spark):
+    order = list(range(4000))
+    random.Random(5).shuffle(order)
+    links = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+    scratch = tk.Scratch(spark, "t")
+    assert {r["component"]: r["n"] for r in components(links, scratch).groupBy("component").agg(F.count("*").alias("n")).collect()} == {0: 4000}
+    assert scratch.count <= 2 + 3 * 20  # tables of 20 rounds
+
+
 # --- pieces ---
 
 
