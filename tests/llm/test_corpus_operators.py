@@ -311,6 +311,20 @@ def test_ngram_join_equals_sql(spark):
     assert Counter(tuple(r) for r in registry.op8_ngram_join(spark, SF).select("doc_id", "n_shingles", "component_id").collect()) == want
 
 
+def test_rows_are_kept_and_dropped_by_id_and_text(spark, words):
+    rng = random.Random(6)
+    one, two, three, four, item = (" ".join(rng.choice(words) for _ in range(40)) for _ in range(5))
+    rows = [(1, one), (1, one), (1, two), (2, one), (None, three), (None, three), (None, four), (None, two + " end"), (3, None), (3, None), (4, three + " end"), (5, "")]
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, k_text string").repartition(3)
+    kept = Counter((r["doc_id"], r["text"]) for r in ngramjoin.keep_one(docs).collect())
+    assert kept == Counter([(1, one), (1, two), (None, four), (4, three + " end"), (3, None), (3, None), (5, "")])
+    none = Counter((r["doc_id"], r["text"]) for r in ngramjoin.keep_one(docs.where("doc_id is null and text <> 'x'")).collect())
+    assert none == Counter([(None, three), (None, four), (None, two + " end")])
+    held = [(None, four), (None, item), (7, three), (7, "and " + item), (None, None), (8, "")]
+    clean = decontam.drop_contaminated(spark.createDataFrame(held, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter([(None, four), (7, three), (None, None), (8, "")])
+
+
 def test_components_of_a_long_chain(spark):
     rng = random.Random(2)
     order = list(range(200))

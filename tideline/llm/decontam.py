@@ -255,6 +255,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, rules: SearchRules | No
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rules: SearchRules | None = None, id_col: str = "doc_id") -> DataFrame:
-    """The documents in which no item was found; a null id is kept unless a row with a null id holds an item."""
-    bad = find_passages(docs, benchmark, rules, id_col).select(F.col(id_col).alias("bad_id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The documents in which no item was found, told apart by id and text: other rows of the same or a null id stay."""
+    named = docs.select(F.struct(F.col(id_col).alias("id"), tk.text_key(F.col("text")).alias("key")).alias("bad"), "text")
+    bad = find_passages(named, benchmark, rules, "bad").select(F.col("bad.id").alias("bad_id"), F.col("bad.key").alias("bad_key")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]) & (tk.text_key(docs["text"]) == bad["bad_key"]), "left_anti")

@@ -68,7 +68,7 @@ def _sizer(width: int, id_field: str):
                 for s in tk.shingle_sets(p, width):
                     n.append(len(s))
                     keys.append(_set_key(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64())], names=[id_field, "n_shingles", "set_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), *batch.columns[2:]], names=[id_field, "n_shingles", "set_key", "text_key"][: batch.num_columns + 1])
 
     return run
 
@@ -340,13 +340,14 @@ def link(docs: DataFrame, rules: JoinRules | None = None, id_col: str = "doc_id"
     """Sizes of all sets, the components of the sets that are linked with another set, and all links.
 
     want: "counts" gives links as (node, n_links), "pairs" as (a, b) of set keys; "groups" gives none of
-    them and verifies only the links that the components need.
+    them, verifies only the links that the components need, and adds a text_key to `sets`.
     """
     rules = rules or JoinRules()
     spark = docs.sparkSession
     scratch = tk.Scratch(spark, "ngramjoin")
     kind = docs.schema[id_col].dataType.simpleString()
-    sets = scratch.save(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_sizer(rules.width, id_col), f"`{id_col}` {kind}, n_shingles long, set_key long"))
+    key, key_kind = ([tk.text_key(F.col(text_col))], ", text_key string") if want == "groups" else ([], "")
+    sets = scratch.save(docs.select(F.col(id_col), F.col(text_col), *key).mapInArrow(_sizer(rules.width, id_col), f"`{id_col}` {kind}, n_shingles long, set_key long{key_kind}"))
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rules.postings))
     blobs = "keys binary, sizes binary, counts binary, grams binary"
@@ -382,13 +383,9 @@ def link(docs: DataFrame, rules: JoinRules | None = None, id_col: str = "doc_id"
 def join_components(docs: DataFrame, rules: JoinRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, n_links) of every document; n_links: other sets that its set is linked with, all of them verified."""
     linked = link(docs, rules, id_col, text_col)
-    return _labelled(linked, linked.nodes.join(linked.links, "node", "left"), id_col)
-
-
-def _labelled(linked: Linked, nodes: DataFrame, id_col: str) -> DataFrame:
     sets = linked.sets
     classes = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min(id_col).alias("least"), F.count("*").alias("copies"))
-    nodes = nodes.withColumnRenamed("node", "set_key")
+    nodes = linked.nodes.join(linked.links, "node", "left").withColumnRenamed("node", "set_key")
     known = classes.join(nodes, "set_key", "left")
     grouped = known.where("component is not null").groupBy("component").agg(F.min("least").alias("group_least"))
     # Only sets with a copy or a link need a lookup; all others are their own component.
@@ -399,7 +396,14 @@ def _labelled(linked: Linked, nodes: DataFrame, id_col: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, rules: JoinRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that of the smallest id; documents with equal ids stay or go together."""
+    """One row of each component: that of the smallest id (null last), then of the smallest text hash; of rows equal in both, any one."""
     linked = link(docs, rules, id_col, text_col, "groups")
-    found = _labelled(linked, linked.nodes.withColumn("n_links", F.lit(None).cast("long")), id_col).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["gone"]), "left_anti")
+    sets = linked.sets.where("n_shingles > 0").join(linked.nodes, F.col("set_key") == F.col("node"), "left")
+    texts = sets.groupBy(F.coalesce("component", "set_key").alias("in_group"), F.col(id_col).alias("k_id"), F.col("text_key").alias("k_text")).agg(F.count("*").alias("times"))
+    rank = F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_text")
+    best = texts.groupBy("in_group").agg(F.min(rank).alias("best"), F.sum("times").alias("held")).where("held > 1").select(F.col("in_group").alias("best_of"), "best")
+    decided = linked.scratch.save(texts.join(best, F.col("in_group") == F.col("best_of")).select("k_id", "k_text", ((rank == F.col("best")) & (F.col("times") == 1)).alias("stays"), ((rank == F.col("best")) & (F.col("times") > 1)).alias("repeated")))
+    gone, repeated = decided.where("not stays").select("k_id", "k_text"), linked.scratch.save(decided.where("repeated").select("k_id", "k_text"))
+    same = lambda keys: docs[id_col].eqNullSafe(keys["k_id"]) & (tk.text_key(docs[text_col]) == keys["k_text"])
+    once = docs.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, text_col])
+    return docs.join(gone, same(gone), "left_anti").unionAll(once)

@@ -201,6 +201,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_key(text):
+    """SHA-256 of a text, null as empty: with an id it names rows that are equal in both."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def most_frequent(df: DataFrame, n_col: str, most: int) -> DataFrame:
     """Rows of the largest counts, `most` at most: all those from a count on that a histogram gives.
 
