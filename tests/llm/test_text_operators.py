@@ -114,6 +114,21 @@ def test_interval_join_equals_all_pairs(spark):
         assert got[d] == sorted((a, b) for k, a, b in parts if k == "secret" and any(o[1] < b + rules.reach and o[2] > a - rules.reach for o in others))
 
 
+def test_partners_of_weak_secrets_are_reported(spark):
+    rng = np.random.default_rng(7)
+    weak = "Zk3vQ9xLm2Tr8Wp5Yc7D"
+    kinds = ["user=alice", "https://a.example.com", "AKIA" + "A" * 16, weak, "https://b.example.com/" + "p" * 900]
+    docs = [(d, " ".join("word " * int(rng.integers(0, 90)) + str(rng.choice(kinds)) for _ in range(20))) for d in range(20)] + [(None, f"user=bob12 {weak}")]
+    rules, want = secrets.LinkRules(), {}
+    for d, t in docs:
+        parts = secrets.weak_parts(t, t.encode(), secrets.base_spans(t), rules)
+        weaks = [p for p in parts if p[0] == "secret"]
+        want[d] = sorted({p for p in parts if p[0] != "secret" and any(p[1] < b + rules.reach and p[2] > a - rules.reach for _, a, b in weaks)})
+    frame = spark.createDataFrame(docs, "doc_id int, text string")
+    assert {r["doc_id"]: [tuple(x) for x in r["partners"]] for r in secrets.find_secrets(frame.unionAll(frame)).collect()} == want
+    assert len({k for p in want.values() for k, _, _ in p}) == 3 and want[None]
+
+
 def test_redaction_keeps_rows_and_columns(spark, odd):
     docs = spark.createDataFrame([(1, "x token=abcdefgh y", "en"), (1, "x token=abcdefgh y", "en"), (2, None, None), (3, "clean", "fr")], "doc_id long, text string, lang string")
     out = secrets.redact_secrets(docs)

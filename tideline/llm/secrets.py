@@ -8,7 +8,9 @@ secret and its partners only when complementary parts co-occur.
 Offsets are code points, ends exclusive. Defined cases: a null or empty text has no spans.
 Rows that are equal in id and text get equal results. Columns other than the id and the
 text are ignored. Very long texts are scanned whole; the join is by (row, bin) with one
-pre-aggregated partner row per role, so its size is linear in the number of parts.
+pre-aggregated partner row per role, so its size is linear in the number of parts. The
+partners' own spans come from a join of the parts in the same bins, which are as long as a
+scope and hold a bounded number of parts. Partners are reported, not redacted.
 """
 
 from __future__ import annotations
@@ -109,7 +111,7 @@ _SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
 def find_secrets(docs: DataFrame, rules: LinkRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, base, linked): strong spans and the spans that co-occurrence adds, one row a document."""
+    """(id, text_key, base, linked, partners): strong spans, the weak secrets that co-occurrence adds, and the parts in their scopes, one row a document."""
     rules = rules or LinkRules()
     kind = docs.schema[id_col].dataType.simpleString()
     scanned = docs.select(F.col(id_col), F.col(text_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_key")).mapInArrow(
@@ -122,6 +124,11 @@ def find_secrets(docs: DataFrame, rules: LinkRules | None = None, id_col: str =
     bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor((hi - 1) / width)))
     secrets = parts.where("kind = 'secret'").select("k_id", "k_text", "start", "end", bins(F.greatest(F.col("start") - rules.reach, F.lit(0)), F.col("end") + rules.reach).alias("bin"))
     others = parts.where("kind <> 'secret'").select("*", bins(F.col("start"), F.col("end")).alias("bin"))
+    p, t = others.alias("p"), secrets.alias("t")
+    met = F.col("p.k_id").eqNullSafe(F.col("t.k_id")) & (F.col("p.k_text") == F.col("t.k_text")) & (F.col("p.bin") == F.col("t.bin"))
+    met &= (F.col("p.start") < F.col("t.end") + rules.reach) & (F.col("p.end") > F.col("t.start") - rules.reach)
+    partners = p.join(t, met, "left_semi").groupBy("k_id", "k_text").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("partners"))
+    partners = partners.select(F.col("k_id").alias("p_id"), F.col("k_text").alias("p_text"), "partners")
     # One row a bin and role: a scope is no shorter than a bin, so it holds a bin whole or reaches into it
     # from one side, and the extremes tell whether a part of the bin lies in the scope.
     others = others.groupBy("k_id", "k_text", "bin", "kind").agg(F.min("start").alias("o_start"), F.max("end").alias("o_end"))
@@ -134,8 +141,9 @@ def find_secrets(docs: DataFrame, rules: LinkRules | None = None, id_col: str =
         .groupBy("k_id", "k_text")
         .agg(F.sort_array(F.collect_set("span")).alias("linked"))
     )
+    linked = linked.join(partners, F.col("k_id").eqNullSafe(F.col("p_id")) & (F.col("k_text") == F.col("p_text")), "left")
     return scanned.join(linked, F.col(id_col).eqNullSafe(F.col("k_id")) & (F.col("text_key") == F.col("k_text")), "left").select(
-        F.col(id_col), "text_key", "base", F.coalesce("linked", F.array().cast(_SPANS)).alias("linked")
+        F.col(id_col), "text_key", "base", F.coalesce("linked", F.array().cast(_SPANS)).alias("linked"), F.coalesce("partners", F.array().cast(_SPANS)).alias("partners")
     )
 
 
