@@ -347,11 +347,13 @@ def test_components_of_a_shuffled_chain_of_thousands(spark):
 
 
 def plain_viterbi(unit, table):
+    """Best path over the whole text, with no cuts: largest score, then fewest edges, then the longer last piece."""
     score = {p: (i, s) for p, i, s in table.pieces}
     low = min(s for _, _, s in table.pieces) - 10
-    best = [(0.0, 0, [])] + [None] * len(unit)
+    longest = max(map(len, score))
+    best = [(0.0, 0, None, None)] + [None] * len(unit)
     for e in range(1, len(unit) + 1):
-        for s in range(e):
+        for s in range(max(0, e - longest), e):
             if unit[s:e] in score:
                 i, w = score[unit[s:e]]
                 ids = [i]
@@ -359,28 +361,79 @@ def plain_viterbi(unit, table):
                 ids, w = [b + table.byte_zero for b in unit[s:e].encode()], low
             else:
                 continue
-            new = (best[s][0] + w, best[s][1] + len(ids), best[s][2] + ids)
+            new = (best[s][0] + w, best[s][1] + 1, s, ids)
             if best[e] is None or new[0] > best[e][0] or (new[0] == best[e][0] and new[1] < best[e][1]):
                 best[e] = new
-    return best[-1][2]
+    out, at = [], len(unit)
+    while at:
+        out.append(best[at][3])
+        at = best[at][2]
+    return [i for ids in reversed(out) for i in ids]
+
+
+def cut_units(text, table):
+    pairs, out = table.pairs(), [" "]
+    for a, b in zip(" " + text, text, strict=False):
+        if a + b in pairs:
+            out[-1] += b
+        else:
+            out.append(b)
+    return out
 
 
-@pytest.mark.parametrize("frequent", [1 << 22, 60])
-def test_pieces_equal_a_plain_viterbi_and_round_trip(spark, odd, odd_rows, empty, frequent):
+@pytest.mark.parametrize("frequent", [1 << 19, 60])
+def test_pieces_equal_a_plain_viterbi_and_round_trip(spark, odd, odd_rows, empty, frequent, tmp_path):
     table = pieces.PieceTable.load(MODEL)
-    coded = pieces.decode(pieces.encode(odd, table, frequent), table)
-    out = coded.select("doc_id", "text", "piece_ids", "decoded").collect()
-    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter((i, t) for i, t, _ in odd_rows)
-    assert all((r["text"] or "") == r["decoded"] for r in out)
-    known: dict = {}
-    for r in out:
-        want = []
-        for u in pieces.split(r["text"]) if r["text"] else []:
-            if u not in known:
-                known[u] = plain_viterbi(u, table)
-            want += known[u]
-        assert r["piece_ids"] == want
+    long = [(200, "xx" * 3000 + "²." + " " * 900 + "end"), (201, "ab" * 900), (202, "\ufeff\U0010ffff👩‍👩‍👧 ▁▁ \x00")]
+    more = spark.createDataFrame([(i, t, "z", [1]) for i, t in long], "doc_id long, text string, decoded string, piece_ids array<int>")
+    rows = odd.unionByName(more, allowMissingColumns=True).withColumns({"led": F.lit(1), "chunk": F.lit("c"), "hash": F.lit(2), "r_units": F.lit(3)})
+    rows.write.parquet(f"{tmp_path}/rows")
+    for docs in (rows, spark.read.parquet(f"{tmp_path}/rows")):  # one that is no file, and one that is
+        out = pieces.encode(docs, table, frequent, decoded_col="decoded").collect()
+        want = odd_rows + [(*r, None) for r in long]
+        assert Counter((r["doc_id"], r["text"]) for r in out) == Counter((i, t) for i, t, _ in want)
+        assert all((r["text"] or "") == r["decoded"] for r in out) and out[0]["led"] == 1 and out[0]["chunk"] == "c"
+        known: dict = {}
+        for r in out:
+            got = []
+            for u in cut_units(r["text"], table) if r["text"] else []:
+                if u not in known:
+                    known[u] = plain_viterbi(u, table)
+                got += known[u]
+            assert r["piece_ids"] == got
+            if r["text"] and len(r["text"]) < 500:  # the cuts lose nothing
+                assert got == plain_viterbi(" " + r["text"], table)
     assert pieces.encode(empty, table).count() == 0
+    none = pieces.decode(spark.createDataFrame([(None,), ([],)], "piece_ids array<int>"), table).collect()
+    assert [r["decoded"] for r in none] == [None, ""]
+
+
+def test_both_folds_are_one(spark, words, monkeypatch):
+    table = pieces.PieceTable.load(MODEL)
+    units = [w + v for w, v in zip(words[:300], words[300:600], strict=True)] + ["q" * 700, " " * 40 + "word", "é", "\u2581"]
+    rows = spark.createDataFrame([(i, u, 1) for i, u in enumerate(units)], "hash long, unit string, n long")
+    got = []
+    for short in (1 << 30, 0):
+        monkeypatch.setattr(pieces, "_SHORT", short)
+        got.append({r["hash"]: r["ids"] for r in pieces.lattice(rows, table).collect()})
+    assert got[0] == got[1] and len(got[0]) == len(units)
+
+
+def test_no_worker_keeps_a_table(spark):
+    import sys
+
+    registry.op10_sentencepiece(spark, SF).write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        import pyarrow as pa
+
+        kept = vars(sys).get("_tideline_kept", {})
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in kept], pa.string())], names=["k"])
+
+    keys = {r["k"] for r in spark.range(64).repartition(16).mapInArrow(held, "k string").collect()}
+    assert all(k.startswith("('powers'") for k in keys), keys
 
 
 # --- pipeline ---

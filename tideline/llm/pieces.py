@@ -1,58 +1,47 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Text is cut into units (a run of spaces with the letters, or the other characters, that
-follow it; single digits), which no piece of the table crosses. For each distinct unit, its
-substrings up to the longest piece are exploded and equi-joined with the piece table; the
-edges are grouped by unit and a Viterbi fold (`aggregate`) keeps, for each position, the
-path of the largest total score, then of the fewest pieces, then with the longer last piece.
-A character that is no piece is an edge of its UTF-8 bytes, scored below every piece.
-
-Documents look up the `frequent` most frequent units in a table of that size, which every
-worker reads once from the shared folder; the rest of their units, if any, are joined.
-
-Defined cases: null and empty texts have no pieces. A space is put before every text and
-taken away again by `decode`; U+2581 in a text is written as bytes, so that decoding gives
-back every text exactly. Runs of more than `MOST` letters, of other characters, or of 16
-spaces are cut there. Rows equal in id and text get equal results. Columns other than the
-id and the text are ignored.
+A text is cut into units between any two neighbouring characters that stand side by side in no
+piece, so that no piece can cross a cut and the best path of a text is that of its units. For each
+distinct unit, its substrings up to the longest piece with the same beginning are exploded and
+equi-joined with the piece table; the edges are grouped by unit and a Viterbi fold (`aggregate`)
+keeps the path of the largest total score, then of the fewest edges, then with the longer last
+piece. A character that is no piece is an edge of its UTF-8 bytes, scored below every piece.
+
+The ids of the `frequent` most frequent units are a table of that size, which a task reads from the
+shared folder and drops at its end. All other units are joined with the documents' chunks (runs of
+`CHUNK` rows of a file): a task reads those of its chunk, whatever the number of units in the corpus.
+
+Defined cases: null and empty texts have no pieces. A space is put before every text and taken away
+again by `decode`; U+2581 in a text is written as bytes, so that decoding gives back every text
+exactly. A unit is as long as its pairs allow, without a cap; its lattice lies in one task. Rows are
+coded one by one, so repeated rows and null ids need no rule. An empty table gives no rows. All columns
+stay, whatever their names; one that is named like the result gives way to it.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
 
 tk.ship(__name__)
 
-MOST, SPACES = 48, 16
-_UNITS = re.compile(rf" {{0,{SPACES}}}[^\W\d_]{{1,{MOST}}}| {{0,{SPACES}}}(?:[^\w ]|_){{1,{MOST}}}|\d| {{1,{SPACES}}}").findall
-SPACE, LETTER, DIGIT, OTHER = range(4)
-
-
-def classes() -> np.ndarray:
-    """Class of every code point, as the unit pattern sees it."""
-
-    def make():
-        table = np.full(0x110000, OTHER, np.uint8)
-        text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        at = np.r_[0:0xD800, 0xE000:0x110000]
-        for name, pattern in ((LETTER, r"[^\W\d_]+"), (DIGIT, r"\d+")):
-            for m in re.finditer(pattern, text):
-                table[at[m.start() : m.end()]] = name
-        table[32] = SPACE
-        return table
-
-    return tk.kept("classes", make)
+CHUNK = 4096
+_PIECE = 1 << 18
+_ROWS = 256  # results go out in batches of so many rows, so that ids of few texts are held at once
+_FLUSH = 400_000  # distinct units that a counting task holds
+_STEM = 4  # characters by which the length of candidates is bounded
+_BLOCK = 512  # links of a long unit are kept in blocks, so that a fold copies no long array
 
 
 @dataclass(frozen=True)
@@ -79,62 +68,76 @@ class PieceTable:
                 names.append("")
             else:
                 names.append(text.replace("▁", " "))
-                if len(_UNITS(names[-1])) == 1:  # others cross units
-                    pieces.append((names[-1], i, float(sp.get_score(i))))
+                pieces.append((names[-1], i, float(sp.get_score(i))))
         if zero is None:
             raise ValueError("the model has no byte pieces")
         return PieceTable(pieces, zero, names)
 
+    def pairs(self) -> set[str]:
+        """Neighbouring characters of all pieces."""
+        return {p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1)}
+
 
-def split(text: str) -> list[str]:
-    """Units of a text with a space before it, by the pattern that defines them."""
-    return _UNITS(" " + text)
+JOINED, CUT, ASK = range(3)
+
+
+def joins(table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
+    """For two neighbouring bytes: whether a unit goes on, ends, or their characters must be asked; and the pairs of such characters."""
+    byte = np.full((256, 256), ASK, np.uint8)
+    byte[:, 0x80:0xC0] = JOINED  # inside a character
+    byte[:0x80, :0x80] = CUT
+    wide = []
+    for a, b in sorted(table.pairs()):
+        if ord(a) < 0x80 and ord(b) < 0x80:
+            byte[ord(a), ord(b)] = JOINED
+        else:
+            wide.append(ord(a) << 21 | ord(b))
+    return byte.reshape(-1), np.array(sorted(wide), np.uint64)
+
+
+def _points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the characters that begin at some places."""
+    first = data[at].astype(np.uint32)
+    tail = [(data[np.minimum(at + j, len(data) - 1)] & 0x3F).astype(np.uint32) for j in (1, 2, 3)]
+    two = (first & 0x1F) << 6 | tail[0]
+    three = (first & 0x0F) << 12 | tail[0] << 6 | tail[1]
+    four = (first & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]
+    return np.where(first < 0x80, first, np.where(first < 0xE0, two, np.where(first < 0xF0, three, four)))
 
 
 class Units:
-    """The same for the texts of a piece at once: bytes with a space before each text, unit bounds, hashes."""
-
-    def __init__(self, p: tk.Piece):
-        self.n = p.n
-        filled = np.diff(p.offsets) > 0  # an empty text has no units
-        before = np.cumsum(filled)
-        size = len(p.data) + int(before[-1])
-        data = np.full(size, 32, np.uint8)
-        data[np.arange(len(p.data)) + np.repeat(before, np.diff(p.offsets))] = p.data
-        self.data = data
-        self.offsets = p.offsets + np.r_[0, before]
-        lead = (data & 0xC0) != 0x80
-        head = np.flatnonzero(lead)
-        point = data[head].astype(np.uint32)
-        wide = np.flatnonzero(point >= 0x80)
-        if len(wide):
-            at, first = head[wide], point[wide]
-            tail = [np.where(at + j < size, data[np.minimum(at + j, size - 1)] & 0x3F, 0).astype(np.uint32) for j in (1, 2, 3)]
-            two = ((first & 0x1F) << 6) | tail[0]
-            three = ((first & 0x0F) << 12) | (tail[0] << 6) | tail[1]
-            four = ((first & 0x07) << 18) | (tail[0] << 12) | (tail[1] << 6) | tail[2]
-            point[wide] = np.minimum(np.where(first < 0xE0, two, np.where(first < 0xF0, three, four)), 0x10FFFF)
-        kind = classes()[point]
-        text = np.zeros(len(head) + 1, bool)
-        text[np.searchsorted(head, self.offsets)] = True
-        text = text[:-1]
-        last = np.empty_like(kind)
-        last[1:] = kind[:-1]
-        last[:1] = OTHER
-        turn = text | (kind != last)  # runs of a class
-        run = np.flatnonzero(turn)
-        inside = np.arange(len(kind)) - np.repeat(run, np.diff(np.r_[run, len(kind)]))
-        joined = (last == SPACE) & ((kind == LETTER) | (kind == OTHER)) & ~text
-        start = (turn & ~joined) | (kind == DIGIT) | (inside > 0) & np.where(kind == SPACE, inside % SPACES == 0, inside % MOST == 0)
-        self.starts = head[np.flatnonzero(start)]
-        self.ends = np.r_[self.starts[1:], size] if len(self.starts) else self.starts
-        self.bounds = np.searchsorted(self.starts, self.offsets)
+    """Units of some texts, each of which has its space before it: bytes, bounds, hashes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, rules: tuple[np.ndarray, np.ndarray]):
+        byte, wide = rules
+        self.data, n = data, len(data)
+        cut = np.zeros(n + 1, bool)
+        if n:
+            say = byte[data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]]
+            cut[1:-1] = say == CUT
+            ask = np.flatnonzero(say == ASK) + 1
+            if len(ask):
+                lead = ask - 1
+                for _ in range(3):
+                    inside = (data[lead] & 0xC0) == 0x80
+                    if not inside.any():
+                        break
+                    lead = lead - inside
+                pair = _points(data, lead).astype(np.uint64) << np.uint64(21) | _points(data, ask)
+                place = np.searchsorted(wide, pair)
+                cut[ask] = np.append(wide, np.uint64(0))[place] != pair
+        cut[offsets] = True  # an empty text begins where the next one does
+        self.starts = np.flatnonzero(cut[:-1])
+        self.ends = np.append(self.starts[1:], n) if len(self.starts) else self.starts
+        self.bounds = np.searchsorted(self.starts, offsets)
 
     def hashes(self) -> np.ndarray:
         n = len(self.data)
+        if not n:
+            return np.zeros(0, np.uint64)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(tk._TABLE[self.data] * tk.powers(tk._BASE, n), out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * tk.powers(tk._INVERSE, n)[self.starts] if n else np.zeros(0, np.uint64)
+        h = (sums[self.ends] - sums[self.starts]) * tk.powers(tk._INVERSE, n)[self.starts]
         return tk.mix64(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def texts(self, which: np.ndarray) -> pa.Array:
@@ -142,70 +145,131 @@ class Units:
         a, n = self.starts[which], (self.ends - self.starts)[which]
         ends = np.cumsum(n)
         flat = self.data[np.repeat(a - np.r_[0, ends[:-1]], n) + np.arange(int(n.sum()))] if len(which) else np.zeros(0, np.uint8)
-        return pa.Array.from_buffers(pa.large_string(), len(which), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())])
+        offsets = pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes())
+        return pa.Array.from_buffers(pa.large_string(), len(which), [None, offsets, pa.py_buffer(flat.tobytes())])
 
 
-_FLUSH = 1_000_000
-_PIECE = 1 << 18
+def _led(text):
+    """A text with a space before it, if it has any."""
+    return F.when(F.length(text) > 0, F.concat(F.lit(" "), text))
 
 
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
-    size = 0
+def _merged(held: list) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    h, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+    order = np.argsort(h, kind="stable")
+    head = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    return h[order][head], np.add.reduceat(n[order], head), pa.concat_arrays([x[2] for x in held]).take(pa.array(order[head]))
+
+
+def _counter(rules_of):
+    """Led texts -> (hash, unit, n) of their distinct units, as far as a task can hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = rules_of.value
+        held, size, last = [], 0, 0
+
+        def out(one):
+            return pa.RecordBatch.from_arrays([pa.array(one[0].view(np.int64)), one[2].cast(pa.string()), pa.array(one[1])], names=["hash", "unit", "n"])
+
+        for batch in batches:
+            for data, offsets, _ in tk.spans(batch.column(0), _PIECE):
+                u = Units(data, offsets, rules)
+                h, first, n = np.unique(u.hashes(), return_index=True, return_counts=True)
+                held.append((h, n, u.texts(first)))
+                size += len(h)
+                if size > max(_FLUSH // 2, 2 * last):
+                    held = [_merged(held)]
+                    size = last = len(held[0][0])
+                    if size > _FLUSH // 2:
+                        yield out(held[0])
+                        held, size, last = [], 0, 0
+        if held:
+            yield out(_merged(held))
+
+    return run
+
+
+_SHORT = 128  # edges
+
+
+def short_fold() -> str:
+    """SQL of the Viterbi fold over `edges`, sorted by end and start, for a unit of few edges.
+
+    The state is the best way to each position: its score, its edges (negative), and the start
+    (negative) and id of its last edge, so that the greater of two ways is the better. Every position
+    has an edge into it, the one of its last character. At the end the starts are followed back.
+    """
+    way = "named_struct('score', a[x.s].score + x.score, 'less', a[x.s].less - 1, 'back', -x.s, 'id', x.id)"
+    once = "transform(array(a[x.s]), p -> named_struct('score', p.score + x.score, 'less', p.less - 1, 'back', -x.s, 'id', x.id))"
+    better = f"if(a[x.e].score > a[x.s].score + x.score, a, concat(slice(a, 1, x.e), array(greatest(a[x.e], {way}))))"
+    step = "named_struct('at', -a[b.at].back, 'ids', concat(array(a[b.at].id), b.ids))"
+    start = "named_struct('at', size(a) - 1, 'ids', cast(array() as array<int>))"
+    walk = f"aggregate(sequence(1, -element_at(a, -1).less), {start}, (b, i) -> {step}, b -> b.ids)"
+    none = "array(named_struct('score', 0D, 'less', 0, 'back', 0, 'id', 0))"
+    return f"aggregate(edges, {none}, (a, x) -> if(x.e = size(a), concat(a, {once}), {better}), a -> {walk})"
 
-    def out():
-        h = np.concatenate([x[0] for x in held])
-        n = np.concatenate([x[1] for x in held])
-        order = np.argsort(h, kind="stable")
-        head = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-        units = pa.concat_arrays([x[2] for x in held]).take(pa.array(order[head])).cast(pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(h[order][head].view(np.int64)), units, pa.array(np.add.reduceat(n[order], head))], names=["hash", "unit", "n"])
-
-    for batch in batches:
-        for p in tk.pieces(batch.column(0), _PIECE):
-            u = Units(p)
-            h, first, n = np.unique(u.hashes(), return_index=True, return_counts=True)
-            held.append((h, n, u.texts(first)))
-            size += len(h)
-            if size > _FLUSH:
-                yield out()
-                held.clear()
-                size = 0
-    if size:
-        yield out()
-
-
-def viterbi(units: DataFrame, table: PieceTable) -> DataFrame:
-    """(hash, n, ids) of distinct units (hash, unit, n), of which each must lie in one task whole.
+
+def long_fold(longest: int) -> str:
+    """The same in time linear in the edges, whatever the length of the unit.
+
+    `now` is the best way to position `at`; `win` has those to the `longest` positions before it, and
+    `links` (in blocks) the start and id of the last edge of every finished position.
+    """
+    links, score = "array<struct<start:int,id:int>>", "struct<score:double,size:int>"
+    now = "named_struct('start', a.now.start, 'id', a.now.id)"
+    best = "named_struct('score', a.now.score, 'size', a.now.size)"
+    way = lambda was: f"named_struct('score', {was}.score + x.score, 'size', {was}.size + 1, 'start', x.s, 'id', x.id)"
+    back = "a.win[size(a.win) - (a.at - x.s)]"
+    was = f"if(x.s = a.at, {best}, {back})"
+    win = f"if(size(a.win) < {longest}, concat(a.win, array({best})), concat(slice(a.win, 2, {longest - 1}), array({best})))"
+    full = f"size(a.cur) >= {_BLOCK}"
+    opened = (
+        f"named_struct('at', x.e, 'now', {way(was)}, 'win', {win}, "
+        f"'cur', if({full}, array({now}), concat(a.cur, array({now}))), 'done', if({full}, concat(a.done, array(a.cur)), a.done))"
+    )
+    better = f"{back}.score + x.score > a.now.score or ({back}.score + x.score = a.now.score and {back}.size + 1 < a.now.size)"
+    replaced = f"named_struct('at', a.at, 'now', {way(back)}, 'win', a.win, 'cur', a.cur, 'done', a.done)"
+    start = (
+        "named_struct('at', 0, 'now', named_struct('score', 0D, 'size', 0, 'start', -1, 'id', 0), "
+        f"'win', cast(array() as array<{score}>), 'cur', cast(array() as {links}), 'done', cast(array() as array<{links}>))"
+    )
+    many = f"size(b.cur) >= {_BLOCK}"
+    step = (
+        f"named_struct('at', b.links[b.at].start, 'links', b.links, 'cur', if({many}, array(b.links[b.at].id), concat(b.cur, array(b.links[b.at].id))), "
+        f"'done', if({many}, concat(b.done, array(b.cur)), b.done))"
+    )
+    walk = (
+        f"aggregate(sequence(1, a.now.size), named_struct('at', a.at, 'links', flatten(concat(a.done, array(concat(a.cur, array({now}))))), "
+        f"'cur', cast(array() as array<int>), 'done', cast(array() as array<array<int>>)), (b, i) -> {step}, "
+        "b -> reverse(flatten(concat(b.done, array(b.cur)))))"
+    )
+    return f"aggregate(edges, {start}, (a, x) -> if(x.e > a.at, {opened}, if({better}, {replaced}, a)), a -> {walk})"
+
+
+def lattice(units: DataFrame, table: PieceTable) -> DataFrame:
+    """(hash, n, ids) of distinct units (hash, unit, n), dealt out by hash, so that each is whole in one task.
 
     An unknown character is an edge too; until the end its id stands as -1 - code point.
     """
     spark = units.sparkSession
     longest = max(len(p) for p, _, _ in table.pieces)
     lowest = min(s for _, _, s in table.pieces) - 10.0
+    stems: dict[str, int] = {}
+    for p, _, _ in table.pieces:
+        if len(p) >= _STEM:
+            stems[p[:_STEM]] = max(stems.get(p[:_STEM], 0), len(p))
     pieces = F.broadcast(spark.createDataFrame(table.pieces, "piece string, id int, score double"))  # the piece table: fixed
-    keys = ["hash", "unit", "n"]
-    starts = units.select(*keys, F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    spans = starts.select(*keys, "s", F.explode(F.expr(f"sequence(s + 1, least(s + {longest}, length(unit)))")).alias("e"))
-    spans = spans.select(*keys, "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("piece"))
+    bounds = F.broadcast(spark.createDataFrame(list(stems.items()), "stem string, most int"))  # no larger than it
+    starts = units.select("hash", "unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    starts = starts.withColumn("stem", F.expr(f"substring(unit, s + 1, {_STEM})")).join(bounds, "stem", "left")
+    reach = f"least(s + coalesce(most, {_STEM - 1}), length(unit))"
+    spans = starts.select("hash", "unit", "n", "s", F.explode(F.expr(f"sequence(s + 1, {reach})")).alias("e"))
+    spans = spans.select("hash", "n", "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("piece"))
     edges = spans.join(pieces, "piece", "left").where("id is not null or e = s + 1")
     edge = F.struct("e", "s", F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(lowest)).alias("score"))
-    lattice = edges.select(*keys, edge.alias("edge")).groupBy(*keys).agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    # Edges come by end, then start: `best` has the finished positions, `now` the one that edges end at.
-    # Every position has an edge into it, so position e is the e-th entry.
-    fold = """
-        aggregate(edges,
-          struct(cast(array() as array<struct<score:double,size:int,ids:array<int>>>) as best, struct(0D as score, 0 as size, cast(array() as array<int>) as ids) as now, 0 as at),
-          (a, x) -> if(x.e > a.at,
-            struct(concat(a.best, array(a.now)) as best,
-                   named_struct('score', if(x.s = a.at, a.now, a.best[x.s]).score + x.score,
-                                'size', if(x.s = a.at, a.now, a.best[x.s]).size + 1, 'ids', concat(if(x.s = a.at, a.now, a.best[x.s]).ids, array(x.id))) as now,
-                   x.e as at),
-            if(a.best[x.s].score + x.score > a.now.score or (a.best[x.s].score + x.score = a.now.score and a.best[x.s].size + 1 < a.now.size),
-               struct(a.best as best, struct(a.best[x.s].score + x.score as score, a.best[x.s].size + 1 as size, concat(a.best[x.s].ids, array(x.id)) as ids) as now, a.at as at), a)),
-          a -> a.now.ids)
-    """
-    return lattice.select("hash", "n", F.expr(fold).alias("ids"))
+    grouped = edges.select("hash", "n", edge.alias("edge")).groupBy("hash", "n").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    best = F.when(F.size("edges") <= _SHORT, F.expr(short_fold())).otherwise(F.expr(long_fold(longest)))
+    return grouped.select("hash", "n", best.alias("ids"))
 
 
 def as_bytes(ids: np.ndarray, offsets: np.ndarray, byte_zero: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +289,7 @@ def as_bytes(ids: np.ndarray, offsets: np.ndarray, byte_zero: int) -> tuple[np.n
 
 @dataclass(frozen=True)
 class Lookup:
-    """Ids of units by hash: sorted hashes, and the first place of each range of their top bits."""
+    """Ids of units by hash: hashes in order, the first place of each range of their top bits, and the ids."""
 
     hashes: np.ndarray
     starts: np.ndarray
@@ -234,42 +298,46 @@ class Lookup:
     shift: np.uint64
 
     @staticmethod
-    def load(uri: str, byte_zero: int) -> Lookup:
-        """The table under a folder, in files sorted by hash one after another; the last one used is kept."""
-
-        def make():
-            fs, base = pafs.FileSystem.from_uri(uri)
-            files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet"))
-            n = sum(pq.read_metadata(f, filesystem=fs).num_rows for f in files)
-            hashes, lengths, ids, at = np.zeros(n, np.uint64), np.zeros(n, np.int32), [], 0
-            for f in files:  # small batches, narrow types: a worker holds little beside the table itself
-                for batch in pq.ParquetFile(f, filesystem=fs).iter_batches(1 << 16, columns=["hash", "ids"], use_threads=False):
-                    flat, cuts = as_bytes(batch["ids"].flatten().to_numpy(), np.r_[0, np.cumsum(batch["ids"].value_lengths().to_numpy())], byte_zero)
-                    hashes[at : at + len(batch)] = batch["hash"].to_numpy().view(np.uint64)
-                    lengths[at : at + len(batch)] = np.diff(cuts)
-                    ids.append(flat.astype(np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.int32))
-                    at += len(batch)
-            return Lookup.build(hashes, lengths, np.concatenate(ids) if ids else np.zeros(0, np.uint16))
-
-        return tk.kept("lookup", make, uri)
+    def build(parts: list[tuple[np.ndarray, pa.Array]], byte_zero: int) -> Lookup:
+        """From (signed hashes, lists of ids)."""
+        hashes, lengths, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
+        for h, lists in parts:
+            flat, cuts = as_bytes(lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())], byte_zero)
+            hashes.append(h.view(np.uint64))
+            lengths.append(np.diff(cuts))
+            ids.append(flat.astype(np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.int32))
+        h, n, flat = np.concatenate(hashes), np.concatenate(lengths), np.concatenate(ids)
+        order = np.argsort(h, kind="stable")
+        first = np.r_[0, np.cumsum(n)]
+        offsets = np.r_[0, np.cumsum(n[order])]
+        flat = flat[np.repeat(first[:-1][order] - offsets[:-1], n[order]) + np.arange(int(offsets[-1]))]
+        bits = max(1, len(h).bit_length() - 1)
+        shift = np.uint64(64 - bits)
+        counts = np.bincount((h >> shift).astype(np.int64), minlength=1 << bits)
+        return Lookup(h[order], np.r_[0, np.cumsum(counts)], offsets, flat, shift)
 
     @staticmethod
-    def build(hashes: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> Lookup:
-        """From rows in the order of signed hashes."""
-        offsets = np.zeros(len(lengths) + 1, np.int32 if lengths.sum(dtype=np.int64) < 1 << 31 else np.int64)
-        np.cumsum(lengths, out=offsets[1:])
-        bits = max(1, len(hashes).bit_length() - 1)
-        shift = np.uint64(64 - bits)
-        hashes = hashes ^ np.uint64(1 << 63)  # signed order as unsigned
-        counts = np.bincount((hashes >> shift).view(np.int64), minlength=1 << bits)
-        return Lookup(hashes, np.r_[0, np.cumsum(counts)].astype(np.int32), offsets, ids, shift)
+    def load(uri: str, byte_zero: int, chunk: int | None = None) -> Lookup:
+        """All rows of a folder of Parquet files, or those of a chunk; a folder that is not there has none."""
+        fs, base = pafs.FileSystem.from_uri(uri)
+        if fs.get_file_info(base).type == pafs.FileType.NotFound:
+            return Lookup.build([], byte_zero)
+        parts = []
+        if chunk is None:
+            files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet"))
+            batches = (b for f in files for b in pq.ParquetFile(f, filesystem=fs).iter_batches(1 << 16, columns=["hash", "ids"], use_threads=False))
+        else:
+            rows = pads.dataset(base, filesystem=fs, format="parquet", exclude_invalid_files=False)
+            batches = rows.to_batches(columns=["hash", "ids"], filter=pads.field("chunk") == chunk, use_threads=False)
+        for b in batches:
+            parts.append((b["hash"].to_numpy(), b["ids"]))
+        return Lookup.build(parts, byte_zero)
 
     def places(self, h: np.ndarray) -> np.ndarray:
         """Place of each hash, or -1."""
         out = np.full(len(h), -1, np.int64)
         if not len(self.hashes):
             return out
-        h = h ^ np.uint64(1 << 63)
         slot = (h >> self.shift).astype(np.int64)
         at, end = self.starts[slot], self.starts[slot + 1]
         left = np.flatnonzero(at < end)
@@ -282,134 +350,141 @@ class Lookup:
         return out
 
 
-def _rare(uri: str, byte_zero: int, id_field: str):
+def _runs(chunk: pa.Array) -> Iterator[tuple[int, int, int]]:
+    """(first row, rows, value) of each run of equal chunks."""
+    c = chunk.to_numpy()
+    head = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, int)
+    for a, b in zip(head, np.append(head[1:], len(c)), strict=True):
+        yield int(a), int(b - a), int(c[a])
+
+
+def _rare(rules_of, uri: str, byte_zero: int):
+    """(led text, chunk) -> (chunk, hash) of units that are not in the table, each once as far as a run goes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup.load(uri, byte_zero)
-        for batch in batches:
-            lists, sizes = [], []
-            for p in tk.pieces(batch.column(2), _PIECE):
-                u = Units(p)
-                h = u.hashes()
-                rare = np.flatnonzero(look.places(h) < 0)
-                cut = np.searchsorted(rare, u.bounds)
-                for i in range(p.n):
-                    lists.append(np.unique(h[rare[cut[i] : cut[i + 1]]]))
-                    sizes.append(len(lists[-1]))
-            flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))], names=[id_field, "key", "rare"])
+        rules, look = rules_of.value, Lookup.load(uri, byte_zero)
+        held, size, of = [], 0, None
 
-    return run
+        def out():
+            h = np.unique(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), of)), pa.array(h.view(np.int64))], names=["chunk", "hash"])
 
+        for batch in batches:
+            for a, n, chunk in _runs(batch.column(1)):
+                if held and (chunk != of or size > _FLUSH):
+                    yield out()
+                    held, size = [], 0
+                of = chunk
+                for data, offsets, _ in tk.spans(batch.column(0).slice(a, n), _PIECE):
+                    h = np.unique(Units(data, offsets, rules).hashes())
+                    held.append(h[look.places(h) < 0])
+                    size += len(held[-1])
+        if held:
+            yield out()
 
-_ROWS = 256  # results go out in batches of so many rows, so that ids of few texts are held at once
+    return run
 
 
-def _encoder(uri: str, byte_zero: int, text_at: int, names: list[str]):
-    """Last column: (hash, ids) of the row's rare units; replaced by the ids of the text."""
+def _encoder(rules_of, uri: str, fills: str, buckets: int, byte_zero: int, names: list[str], bytes_of=None):
+    """(columns, led text, chunk) -> the columns, and the ids of the text; with the bytes of the pieces, also the text of these ids."""
 
-    def ids_of(look: Lookup, texts: pa.Array, extra: pa.Array) -> pa.Array:
-        n = len(look.hashes)
+    def ids_of(texts: pa.Array, look: Lookup, own: Lookup, rules) -> pa.Array:
+        every = np.concatenate([look.ids, own.ids]) if len(own.ids) else look.ids
         out, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for p in tk.pieces(texts, _PIECE):
-            u = Units(p)
+        for data, offsets, _ in tk.spans(texts, _PIECE):
+            u = Units(data, offsets, rules)
             h = u.hashes()
+            first, last = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
             at = look.places(h)
-            own = extra.slice(p.first, p.n).flatten()  # hashes mean the same in every row
-            times = np.where(at >= 0, look.offsets[at + 1] - look.offsets[at], 0) if n else np.zeros(len(h), np.int64)
-            first = look.offsets[at] if n else np.zeros(len(h), np.int64)
-            ids = look.ids
-            if len(own):
-                keys, lists = own.field("hash").to_numpy(zero_copy_only=False).view(np.uint64), own.field("ids")
-                keys, head = np.unique(keys, return_index=True)
-                lists = lists.take(pa.array(head))
-                more, cut = as_bytes(lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())], byte_zero)
-                rare = np.flatnonzero(at < 0)
-                place = np.searchsorted(keys, h[rare])
-                times[rare], first[rare] = (cut[1:] - cut[:-1])[place], len(ids) + cut[:-1][place]
-                known = first < len(ids)
-                ends = np.r_[0, np.cumsum(times)]
-                where = np.repeat(first - ends[:-1], times) + np.arange(int(ends[-1]))
-                here = np.repeat(known, times)
-                flat = np.empty(len(where), np.int32)
-                flat[here] = ids[where[here]]
-                flat[~here] = more[where[~here] - len(ids)]
-            else:
-                ends = np.r_[0, np.cumsum(times)]
-                flat = ids[np.repeat(first - ends[:-1], times) + np.arange(int(ends[-1]))].astype(np.int32)
-            out.append(flat)
+            for table, shift, which in ((look, 0, np.flatnonzero(at >= 0)), (own, len(look.ids), np.flatnonzero(at < 0))):
+                if len(which):
+                    place = at[which] if table is look else own.places(h[which])
+                    if (place < 0).any():
+                        raise RuntimeError("a unit of the text was not counted: the documents changed between two reads")
+                    first[which], last[which] = table.offsets[place] + shift, table.offsets[place + 1] + shift
+            times = last - first
+            ends = np.r_[0, np.cumsum(times)]
+            out.append(every[np.repeat(first - ends[:-1], times) + np.arange(int(ends[-1]))].astype(np.int32))
             sizes.append(np.diff(ends[u.bounds]))
         return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(out), pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup.load(uri, byte_zero)
+        rules, look = rules_of.value, Lookup.load(uri, byte_zero)
+        own, of = None, None
         for batch in batches:
-            for a in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(a, _ROWS)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids_of(look, part.column(text_at), part.column(part.num_columns - 1))], names=names)
+            for a, n, chunk in _runs(batch.column(batch.num_columns - 1)):
+                if own is None or chunk != of:
+                    own, of = Lookup.load(f"{fills}/bucket={chunk % buckets}", byte_zero, chunk), chunk
+                for b in range(a, a + n, _ROWS):
+                    part = batch.slice(b, min(_ROWS, a + n - b))
+                    ids = ids_of(part.column(part.num_columns - 2), look, own, rules)
+                    back = [pa.array(decode_lists(ids, *bytes_of.value), pa.string())] if bytes_of else []
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-2], ids, *back], names=names)
 
     return run
 
 
-_UNITS_A_TASK = 20_000  # the lattice of so many units is sorted in memory
-
-
-def encode(docs: DataFrame, table: PieceTable, frequent: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
-    """The documents with the piece ids of their texts in `ids_col`."""
+def encode(docs: DataFrame, table: PieceTable, frequent: int = 1 << 19, text_col: str = "text", ids_col: str = "piece_ids", decoded_col: str | None = None) -> DataFrame:
+    """The documents with the piece ids of their texts in `ids_col` and, if asked for, the text that these ids decode to."""
     spark = docs.sparkSession
     scratch = tk.Scratch(spark, "pieces")
-    counted = docs.where(F.length(text_col) > 0).select(F.col(text_col)).mapInArrow(_counter, "hash long, unit string, n long")
-    units = scratch.save(counted.groupBy("hash").agg(F.min("unit").alias("unit"), F.sum("n").alias("n")))
-    del counted
-    scratch.settle()
-    total = units.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // _UNITS_A_TASK))
-    coded = scratch.save(viterbi(units.repartition(parts, "hash"), table))
-    scratch.drop(units)
-    top = tk.most_frequent(coded, "n", frequent)
-    held = scratch.save(top.select("hash", "ids").repartitionByRange(8, "hash").sortWithinPartitions("hash"))  # `frequent` rows at most: about 25 bytes each
-    scratch.settle()
+    rules = spark.sparkContext.broadcast(joins(table))  # 64 KB, and eight bytes a pair
+    docs, chunk = tk.chunked(docs, scratch, CHUNK)
+    filled, text = docs.where(F.length(F.col(f"`{text_col}`")) > 0), _led(F.col(f"`{text_col}`")).alias("led")
+    counted = filled.select(text).mapInArrow(_counter(rules), "hash long, unit string, n long")
+    counted = counted.repartition(F.col("hash")).groupBy("hash", "unit").agg(F.sum("n").alias("n"))  # tasks have merged theirs already
+    coded = scratch.save(lattice(counted, table))
+    held = scratch.save(tk.most_frequent(coded, "n", frequent).select("hash", "ids").coalesce(8))  # `frequent` rows at most: about 25 bytes each
     uri, zero = held._tideline_path, table.byte_zero
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    kind = docs.schema[id_col].dataType.simpleString()
-    key = F.xxhash64(F.col(text_col), F.length(text_col))
-    if total <= frequent:
-        joined = docs.withColumn("r_units", F.array().cast("array<struct<hash:bigint,ids:array<int>>>"))  # every unit is in the table
-    else:
-        rare = docs.select(F.col(id_col), key.alias("key"), F.col(text_col)).mapInArrow(_rare(uri, zero, id_col), f"`{id_col}` {kind}, key long, rare array<bigint>")
-        rare = rare.select(F.col(id_col).alias("r_id"), F.col("key").alias("r_key"), F.explode("rare").alias("hash")).join(coded.select("hash", "ids"), "hash")
-        rare = rare.groupBy("r_id", "r_key").agg(F.collect_set(F.struct("hash", "ids")).alias("r_units"))
-        joined = docs.join(rare, docs[id_col].eqNullSafe(rare["r_id"]) & (key == rare["r_key"]), "left").select(*[docs[c] for c in docs.columns], "r_units")
-    return joined.mapInArrow(_encoder(uri, zero, docs.columns.index(text_col), [*docs.columns, ids_col]), f"{schema}, `{ids_col}` array<int>")
-
-
-def decode_lists(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, cuts: np.ndarray) -> list[str]:
-    """Texts of lists of piece ids: the bytes of their pieces, less the space before the text."""
+    wanted = filled.select(text, chunk.alias("chunk")).mapInArrow(_rare(rules, uri, zero), "chunk long, hash long")
+    # One folder for so many chunks that it has about as many rows as a counting task holds, at this many units.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-coded.count() // _FLUSH))
+    bucket = F.pmod("chunk", F.lit(buckets)).alias("bucket")
+    rare = wanted.distinct().join(coded.select("hash", "ids"), "hash").select("chunk", "hash", "ids", bucket)
+    fills = scratch.path("fills")
+    rare.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").write.partitionBy("bucket").parquet(fills)
+    scratch.drop(coded)
+    made = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
+    own = [f for f in docs.schema if f.name not in (ids_col, decoded_col)]
+    led, named = tk.fresh(docs, "led", "chunk")
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in own], text.alias(led), chunk.alias(named))
+    schema = T.StructType([*own, *made])
+    bytes_of = spark.sparkContext.broadcast(piece_bytes(table)) if decoded_col else None  # the piece table: fixed
+    return rows.mapInArrow(_encoder(rules, uri, fills, buckets, zero, schema.names, bytes_of), schema)
+
+
+def piece_bytes(table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all pieces, one after another, and their bounds."""
+    raw = [bytes([x]) if isinstance(x, int) else x.encode() for x in table.names]
+    return np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
+
+
+def decode_lists(lists: pa.Array, data: np.ndarray, cuts: np.ndarray) -> list[str | None]:
+    """Texts of lists of piece ids: the bytes of their pieces, less the space before the text; null for a null."""
+    ids, offsets = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]
     n = (cuts[1:] - cuts[:-1])[ids]
     ends = np.r_[0, np.cumsum(n)]
     flat = data[np.repeat(cuts[:-1][ids] - ends[:-1], n) + np.arange(int(ends[-1]))].tobytes()
     at = ends[offsets].tolist()
-    return [flat[min(a + 1, b) : b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
+    texts = [flat[min(a + 1, b) : b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
+    return [t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist(), strict=True)]
 
 
-def _decoder(of, at: int, names: list[str]):
+def _decoder(of, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, cuts = of.value
         for batch in batches:
             for a in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(a, _ROWS)
-                col = part.column(at)
-                lengths = col.value_lengths().fill_null(0).to_numpy()
-                texts = decode_lists(col.flatten().to_numpy(), np.r_[0, np.cumsum(lengths)], data, cuts)
-                out = [t if ok else None for t, ok in zip(texts, col.is_valid().to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=names)
+                texts = decode_lists(part.column(part.num_columns - 1), *of.value)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=names)
 
     return run
 
 
 def decode(coded: DataFrame, table: PieceTable, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
     """The rows with the text of their piece ids in `out_col`; null ids give null, no ids the empty text."""
-    raw = [bytes([x]) if isinstance(x, int) else x.encode() for x in table.names]
-    flat = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
-    shared = coded.sparkSession.sparkContext.broadcast(flat)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema) + f", `{out_col}` string"
-    return coded.mapInArrow(_decoder(shared, coded.columns.index(ids_col), [*coded.columns, out_col]), schema)
+    shared = coded.sparkSession.sparkContext.broadcast(piece_bytes(table))  # the piece table: fixed
+    own = [f for f in coded.schema if f.name != out_col]
+    rows = coded.select(*[F.col(f"`{f.name}`") for f in own], F.col(f"`{ids_col}`").alias(tk.fresh(coded, "ids")[0]))
+    schema = T.StructType([*own, T.StructField(out_col, T.StringType())])
+    return rows.mapInArrow(_decoder(shared, schema.names), schema)

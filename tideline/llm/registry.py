@@ -78,10 +78,10 @@ TOKENIZERS = "/opt/tokenizers"
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    pieces_of = pieces.PieceTable.load(f"{TOKENIZERS}/piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(docs, pieces_of).drop("text"), pieces_of)
-    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"), "piece_ids")
+    model = pieces.PieceTable.load(f"{TOKENIZERS}/piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded_col="decoded")
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), same.alias("round_trip"), "piece_ids")
 
 
 def queries() -> dict:

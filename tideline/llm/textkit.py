@@ -8,7 +8,6 @@ bytes inside a longer character, so byte words equal character words.
 
 from __future__ import annotations
 
-import gc
 import sys
 import uuid
 from collections.abc import Iterator
@@ -16,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE = 1 << 20
@@ -115,26 +115,6 @@ class Piece:
         return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
 
 
-def pieces(column: pa.Array, size: int = PIECE) -> Iterator[Piece]:
-    """Cut an Arrow string column into pieces; a null counts as an empty text."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
-    if not len(column):
-        return
-    _, offs, data = column.buffers()
-    offs = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    i = 0
-    while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1)
-        j = min(j, len(column))
-        yield Piece(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], i)
-        i = j
-
-
 def shingle_sets(piece: Piece, width: int = 5) -> Iterator[np.ndarray]:
     """Per text: sorted distinct shingle hashes (uint64) of the A-Z-folded words.
 
@@ -154,6 +134,32 @@ def shingle_sets(piece: Piece, width: int = 5) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def spans(column: pa.Array, size: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, text offsets, first row) of consecutive texts of about `size` bytes, one text at least; a null counts as empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if column.null_count:
+        column = column.fill_null("")
+    column = column.cast(pa.large_string())
+    if not len(column):
+        return
+    _, offs, data = column.buffers()
+    offs = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1)
+        j = min(j, len(column))
+        yield data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], i
+        i = j
+
+
+def pieces(column: pa.Array, size: int = PIECE) -> Iterator[Piece]:
+    """Cut an Arrow string column into pieces; a null counts as an empty text."""
+    for data, offsets, first in spans(column, size):
+        yield Piece(data, offsets, first)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; one of its own only where none is set, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -182,11 +188,6 @@ class Scratch:
         out._tideline_path = path
         return out
 
-    def settle(self) -> None:
-        """Let go of the shuffle files of finished jobs: Spark deletes them when the driver's references are collected."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -197,10 +198,45 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_NARROW = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
+
+
+def chunked(docs: DataFrame, scratch: Scratch, rows: int) -> tuple[DataFrame, Column]:
+    """The documents as they stand in files, and a column that names runs of `rows` rows of a file.
+
+    The names are the same whenever the files are read. Documents that do not come straight from files are written first.
+    """
+    todo, narrow = [docs._jdf.queryExecution().analyzed()], True
+    while todo and narrow:
+        plan = todo.pop()
+        narrow = plan.nodeName() in _NARROW
+        below = plan.children()
+        todo += [below.apply(i) for i in range(below.size())]
+    if narrow:
+        try:
+            docs.select(docs.metadataColumn("_metadata")["row_index"])
+        except AnalysisException:
+            narrow = False
+    docs = docs if narrow else scratch.save(docs)
+    at = docs.metadataColumn("_metadata")
+    return docs, F.xxhash64(at["file_path"], F.floor(at["row_index"] / rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of the table has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_key(text):
     """SHA-256 of a text, null as empty: with an id it names rows that are equal in both."""
     return F.sha2(F.coalesce(text, F.lit("")), 256)
