@@ -151,7 +151,7 @@ class Units:
 
 def _led(text):
     """A text with a space before it, if it has any."""
-    return F.when(F.length(text) > 0, F.concat(F.lit(" "), text))
+    return F.when(F.length(text) > 0, F.concat(F.lit(" "), text)).otherwise(F.lit(""))
 
 
 def _merged(held: list) -> tuple[np.ndarray, np.ndarray, pa.Array]:

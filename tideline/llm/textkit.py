@@ -18,6 +18,7 @@ from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PIECE = 1 << 20
 _SPACES = np.zeros(256, bool)
@@ -173,10 +174,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+BATCH_ROWS = 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Spark cuts Arrow batches by rows, 10,000 unless set: too many for whole texts. Only the default is changed."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written in the shared folder to cut lineage; dropped one by one when no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
@@ -223,9 +235,14 @@ def chunked(docs: DataFrame, scratch: Scratch, rows: int) -> tuple[DataFrame, Co
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fields(ddl: str) -> list[T.StructField]:
+    return list(T.StructType.fromDDL(ddl))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of the table has."""
     taken, out = {c.lower() for c in df.columns}, []
