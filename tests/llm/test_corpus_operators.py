@@ -149,7 +149,7 @@ def infix(pattern, text):
 
 def test_decontamination_equals_brute_force(spark, words):
     rng = random.Random(8)
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(5, 40)))) for i in range(12)] + [(98, None), (99, "short")]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(5, 40)))) for i in range(12)] + [(96, " .,"), (97, "Short answer: 42"), (98, None), (99, "short")]
     docs = []
     for d in range(60):
         text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))
@@ -160,15 +160,15 @@ def test_decontamination_equals_brute_force(spark, words):
                 t[i : i + rng.choice([0, 1])] = rng.choice(["", "x", "Q"])
             text += " " + "".join(t).upper() + ", " + " ".join(rng.choice(words) for _ in range(20))
         docs.append((d, text))
-    docs += [(60, None), (61, "")]
+    docs += [(60, None), (61, ""), (62, "  Short!"), (63, "so: short ANSWER 42."), (64, "short answer 421 is not it, but short answer 42 is"), (65, "a short answer 421, short"), (66, "xshort answer 42")]
     rules = decontam.SearchRules()
-    index = decontam.build(items, rules)
-    want = set()
+    index = decontam.build([t for _, t in items], rules)
+    want = {(62, 99), (63, 97), (64, 97)}
     for d, text in docs:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         x, _ = decontam.normalise(raw, np.array([0]))
-        for k, p in enumerate(index.patterns):
-            if len(x) and infix(p.tolist(), x.tolist()) <= index.edits[k]:
+        for k in np.flatnonzero(~index.exact):
+            if len(x) and infix(index.rows[k, : index.lengths[k]].tolist(), x.tolist()) <= index.edits[k]:
                 want.add((d, items[index.of[k]][0]))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("edits", F.lit("clash"))
     table = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"begin": F.lit(1), "item_id": F.lit(5)})
@@ -182,6 +182,25 @@ def test_decontamination_equals_brute_force(spark, words):
     assert decontam.find_passages(table.where("false"), bench).count() == 0
 
 
+def test_decontamination_with_common_words(spark, monkeypatch):
+    """Items and documents of few words: every q-gram stands in most patterns, and slices must lose nothing."""
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(["the answer", "of the", "question is", "the"]) for _ in range(n))
+    items = [(i, say(rng.randint(12, 30))) for i in range(10)]
+    docs = [(d, say(8) + " " + (items[d][1] if d % 2 else "") + " " + say(8)) for d in range(10)]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for spread, rules in ((1 << 21, {}), (1 << 15, {"index_bytes": 540_000})):
+        monkeypatch.setattr(decontam, "SPREAD", spread)
+        out = decontam.find_passages(table, bench, decontam.SearchRules(**rules)).collect()
+        got.append(sorted((r["doc_id"], r["item_id"], r["edits"], r["windows"]) for r in out))
+    assert got[0] == got[1]
+    assert {(d, d) for d in range(1, 10, 2)} <= {r[:2] for r in got[0]}
+    large = [(" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 9999)) for _ in range(40))) for _ in range(3000)]
+    indexes = list(decontam._indexes(list(enumerate(large)), decontam.SearchRules()))
+    assert all(index.size() <= decontam.SearchRules().index_bytes for _, index in indexes) and sum(len(i) for i, _ in indexes) == 3000
+
+
 # --- language model ---
 
 
@@ -202,28 +221,90 @@ def test_language_model_counts_and_probabilities(spark, odd, odd_rows, empty):
     assert lm.score(odd, nothing, none, scratch).where("train_tokens = 0 and n_known = 0").count() == odd.count()
 
 
-def test_language_model_sums_to_one(spark):
-    docs = spark.createDataFrame([(i, f"the cat {w} on the {w} mat") for i, w in enumerate(["sat", "lay", "sat", "is"] * 30)], "doc_id int, text string")
-    scratch = tk.Scratch(spark, "t")
-    model, counts = lm.fit(docs, scratch, lm.ModelSettings(batch=64))
-    vocabulary = ["the", "cat", "sat", "lay", "is", "on", "mat"]
-    s = model.settings
+def plain_scores(model, counts, texts):
+    """log10 probability of each text, token by token, from the weights and the definition alone."""
+    s, out = model.settings, []
+    words, rows, mass = lm.Words(*model.words()), lm.Rows.of(model.settings), defaultdict(int)
+    for w, c in counts.items():
+        mass[plain_leaf(words, w)] += c + 1
+    for t in texts:
+        tokens, total = [*(t or "").encode().lower().split(), b""], 0.0
+        leaves = [plain_leaf(words, w) for w in tokens]
+        past = [s.fan**2] * 3 + leaves
+        for i, (w, leaf) in enumerate(zip(tokens, leaves, strict=True)):
+            a, b, c = past[i + 2], past[i + 1], past[i]
+            k = leaf // s.fan
+            pair = max(1, ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 13) & (s.rows - 1))
+            z1 = sum(model.w1[r].astype(float) for r in (0, rows.one[0][a], rows.one[1][b], rows.one[2][c], pair))
+            z2 = sum(model.w2[r].astype(float) for r in (rows.alone[k], rows.two[0][k, a], rows.two[1][k, b]))
+            p = np.exp(z1)[k] / np.exp(z1).sum() * np.exp(z2)[leaf % s.fan] / np.exp(z2).sum()
+            total += math.log10(p) + math.log10((counts.get(w, 0) + 1) / (mass[leaf] + 1))
+        out.append(total)
+    return out
+
+
+def plain_leaf(words, w):
     import pyarrow as pa
 
+    p = next(iter(tk.pieces(pa.array([w.decode()], pa.string()))))
+    h, _, affix, _ = lm.sequence(p)
+    return int(words.leaves(words.look_up(h[:1]), affix[:1])[0])
+
+
+def test_language_model_scores_equal_the_definition(spark, odd, odd_rows):
+    train = odd.where("doc_id % 3 <> 0 or doc_id is null")
+    scratch = tk.Scratch(spark, "t")
+    counts = Counter(w for i, t, _ in odd_rows if i is None or i % 3 for w in [*(t or "").encode().lower().split(), b""])
+    some = [r for r in odd_rows if len(r[1] or "") < 3000]
+    for settings in (lm.ModelSettings(batch=256), lm.ModelSettings(frequent=5, batch=64)):
+        model, table = lm.fit(train, scratch, settings)
+        assert np.abs(model.w1).sum() > 0 and np.abs(model.w2).sum() > 0
+        want = Counter((i, round(x, 2)) for (i, _, _), x in zip(some, plain_scores(model, counts, [t for _, t, _ in some]), strict=True))
+        short = odd.where("coalesce(length(text), 0) < 3000")
+        assert Counter((r["doc_id"], round(r["score"], 2)) for r in lm.score(short, model, table, scratch).collect()) == want
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    w = rng.normal(size=(40, 8)).astype(np.float32)
+    rows, target = [rng.integers(1, 40, 300) for _ in range(3)], rng.integers(0, 8, 300)
+
+    def loss(v):
+        z = v[rows[0]] + v[rows[1]] + v[rows[2]] + v[0]
+        z -= np.log(np.exp(z).sum(1, keepdims=True))
+        return -z[np.arange(300), target].mean()
+
+    g = lm.gradient(w, rows, target, True)
+    for r, k in [(0, 0), (0, 5), (3, 2), (17, 7), (39, 1)]:
+        up, down = w.astype(float), w.astype(float)
+        up[r, k] += 1e-5
+        down[r, k] -= 1e-5
+        assert g[r, k] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-6)
+
+
+def test_language_model_probabilities_sum_to_one(spark):
+    docs = spark.createDataFrame([(i, f"the cat {w} on the {w} mat") for i, w in enumerate(["sat", "lay", "sat", "is"] * 30)], "doc_id int, text string")
+    scratch = tk.Scratch(spark, "t")
+    model, table = lm.fit(docs, scratch, lm.ModelSettings(batch=64))
+    counts = Counter(w for r in docs.collect() for w in [*r["text"].encode().split(), b""])
+    words = lm.Words(*model.words())
+    # After "the cat": all known next tokens, "unknown" in their leaves, and the other leaves' whole share.
+    before = plain_scores(model, counts, ["the cat"])[0]
+    end = [w for w in counts if w]
+    leaves = {w: plain_leaf(words, w) for w in counts}
+    s, rows = model.settings, lm.Rows.of(model.settings)
+    a, b, c = leaves[b"cat"], leaves[b"the"], s.fan**2
+    pair = max(1, ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 13) & (s.rows - 1))
+    z1 = sum(model.w1[r].astype(float) for r in (0, rows.one[0][a], rows.one[1][b], rows.one[2][c], pair))
     total = 0.0
-    by_leaf = defaultdict(float)
-    for w in [*vocabulary, None]:  # None: the end
-        p = next(iter(tk.pieces(pa.array([w or ""], pa.string()))))
-        h, _, affix, _ = lm.sequence(p)
-        leaf = int(model.leaves(model.look_up(h[:1]), affix[:1])[0])
-        by_leaf[leaf] += 10 ** (np.log10(model.counts[model.look_up(h[:1])[0]] + 1) - model.log_leaf[leaf])
-    one, two = lm.features(s, np.arange(s.fan * s.fan), np.arange(s.fan * s.fan + 1))
-    z = lm.log_softmax(model.w1, [r[:1] for r in one])
-    assert abs(np.exp(z).sum() - 1) < 1e-4
-    for leaf, share in by_leaf.items():
-        total += 1
-        assert share + 10 ** -model.log_leaf[leaf] == pytest.approx(1, abs=1e-6)
-    assert total
+    for k in range(s.fan):
+        z2 = sum(model.w2[r].astype(float) for r in (rows.alone[k], rows.two[0][k, a], rows.two[1][k, b]))
+        share = np.exp(z1)[k] / np.exp(z1).sum() * np.exp(z2) / np.exp(z2).sum()
+        for j in range(s.fan):
+            own = [w for w in counts if leaves[w] == k * s.fan + j]
+            mass = sum(counts[w] + 1 for w in own) + 1
+            total += share[j] * (sum(counts[w] + 1 for w in own) + 1) / mass
+    assert total == pytest.approx(1, abs=1e-6) and before < 0 and end
 
 
 def test_language_model_beats_its_base_on_held_out_text(spark):

@@ -32,11 +32,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
     held = F.coalesce(_bucket(7) == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
     scratch = Scratch(spark, "lm")
-    model, counts = lm.fit(docs.where(~held), scratch)
-    return lm.score(docs, model, counts, scratch).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    model, counts = lm.vocabulary(docs.where("not held_out"), scratch)
+    coded = lm.code(docs, model, scratch)  # the texts are hashed once for both uses
+    return lm.score_coded(coded, lm.train(coded.where("not held_out"), model), counts, ["doc_id", "held_out"])
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
