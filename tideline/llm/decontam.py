@@ -8,12 +8,18 @@ verified by banded alignment.
 
 Text is compared as UTF-8 bytes, lower-cased (A-Z and Latin-1 letters), with every run of
 other ASCII characters as one space. The benchmark is the query set: it is searched in
-blocks of at most `block_bytes`, each broadcast, against all documents.
-
-Defined cases: null and empty texts match nothing; items shorter than `min_chars` after
-normalising are too short to tell and are not searched. Documents that are repeated are
-reported once a row; repeated items are each reported. Columns other than ids and texts
-are ignored. Texts are searched whole.
+blocks of at most `block_bytes`, whose index is below `index_bytes`, each broadcast, against all
+documents. A task expands at most about `SPREAD` postings at a time, however common a q-gram is.
+
+An item of up to `whole` bytes matches with a tenth of it in edits, one of under `min_chars` only
+exactly and between word ends, and one of under q bytes (no q-gram) only as the whole of a document.
+A longer item matches by any window: a verbatim passage of it of `window + stride - 1` bytes or more
+is always found, a shorter one only if it holds a window.
+
+Defined cases: null and empty texts match nothing, nor do null items or items without a letter or
+digit. Documents that are repeated are reported once a row; repeated items are each reported. Rows
+with a null id are told apart by their texts. An empty table on either side gives no passages.
+Columns other than ids and texts are ignored, whatever their names. Texts are searched whole.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
 
@@ -37,11 +44,14 @@ class SearchRules:
     q: int = 8  # one machine word of bytes
     edit_rate: float = 0.1
     window: int = 96
+    stride: int = 48
     whole: int = 128  # items up to so long are one pattern
-    min_chars: int = 24
-    block_bytes: int = 8 << 20
+    min_chars: int = 24  # below, no edits
+    block_bytes: int = 1 << 20
+    index_bytes: int = 48 << 20
 
 
+SPREAD = 1 << 21
 _CLEAN = np.full(256, 32, np.uint8)
 for _a, _b in ((48, 58), (97, 123), (128, 256)):
     _CLEAN[_a:_b] = np.arange(_a, _b)
@@ -75,54 +85,68 @@ def codes(x: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Patterns of a block of items and the postings of their q-grams."""
+    """Patterns of a block of items and the postings of their q-grams, as plain arrays."""
 
-    items: list
     of: np.ndarray  # item of each pattern
     begin: np.ndarray  # offset of each pattern in its item
-    patterns: list[np.ndarray]
+    lengths: np.ndarray
+    rows: np.ndarray  # the patterns, each from the start of its row
     edits: np.ndarray
     need: np.ndarray
     parts: np.ndarray  # patterns of each item
+    exact: np.ndarray  # patterns that must end at word ends
     grams: np.ndarray
     first: np.ndarray
     pattern: np.ndarray
     place: np.ndarray
-    sieve: np.ndarray
-
-
-def build(items: list[tuple], rules: SearchRules) -> Index:
-    of, begin, patterns, edits, need, parts = [], [], [], [], [], []
-    for n, (_, text) in enumerate(items):
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        x, _ = normalise(raw, np.zeros(1, np.int64))
-        while len(x) and x[0] == 32:
-            x = x[1:]
-        while len(x) and x[-1] == 32:
-            x = x[:-1]
-        if len(x) < rules.min_chars:
-            parts.append(0)
+    sieve: np.ndarray  # bits of the q-grams' slots
+    tiny: dict  # normalised item without a q-gram -> items
+
+    def size(self) -> int:
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray))
+
+
+def bare(text: str | None) -> np.ndarray:
+    """Comparable bytes of a text without spaces at its ends."""
+    x, _ = normalise(np.frombuffer((text or "").encode(), np.uint8), np.zeros(1, np.int64))
+    held = np.flatnonzero(x != 32)
+    return x[held[0] : held[-1] + 1] if len(held) else x[:0]
+
+
+def build(texts: list[str | None], rules: SearchRules) -> Index:
+    of, begin, patterns, edits, exact, parts, tiny = [], [], [], [], [], [], {}
+    for n, text in enumerate(texts):
+        x = bare(text)
+        if len(x) < rules.q:
+            parts.append(1)
+            if len(x):
+                tiny.setdefault(x.tobytes(), []).append(n)
             continue
-        step = rules.window // 2
-        cuts = [(0, len(x))] if len(x) <= rules.whole else [(a, a + rules.window) for a in sorted({*range(0, len(x) - rules.window, step), len(x) - rules.window})]
+        last = len(x) - rules.window
+        cuts = [(0, len(x))] if len(x) <= rules.whole else [(a, a + rules.window) for a in sorted({*range(0, last, rules.stride), last})]
         parts.append(len(cuts))
         for a, b in cuts:
-            k = min(int(rules.edit_rate * (b - a)), (b - a - rules.q) // rules.q, _STEP - 1)
             of.append(n)
             begin.append(a)
-            patterns.append(x[a:b].copy())
-            edits.append(k)
-            need.append(b - a + 1 - rules.q - k * rules.q)
+            patterns.append(x[a:b])
+            exact.append(b - a < rules.min_chars)
+            edits.append(0 if exact[-1] else min(int(rules.edit_rate * (b - a)), (b - a - rules.q) // rules.q, _STEP - 1))
+    narrow = lambda v: np.array(v, np.int32)
+    lengths, k = narrow([len(p) for p in patterns]), narrow(edits)
+    rows = np.zeros((len(patterns), int(lengths.max(initial=0))), np.uint8)
+    for i, p in enumerate(patterns):
+        rows[i, : len(p)] = p
     all_codes = [codes(p) for p in patterns] or [np.zeros(0, np.uint64)]
     flat = np.concatenate(all_codes)
-    owner = np.repeat(np.arange(len(patterns)), [len(c) for c in all_codes][: len(patterns)]) if patterns else np.zeros(0, int)
-    place = np.concatenate([np.arange(len(c)) for c in all_codes])
+    owner = np.repeat(np.arange(len(patterns), dtype=np.int32), [len(c) for c in all_codes][: len(patterns)])
+    place = np.concatenate([np.arange(len(c), dtype=np.int32) for c in all_codes])
     order = np.argsort(flat, kind="stable")
     grams, first = np.unique(flat[order], return_index=True)
     sieve = np.zeros(1 << 22, bool)
     sieve[_slot(grams)] = True
-    ints = lambda v: np.array(v, np.int64)
-    return Index([i for i, _ in items], ints(of), ints(begin), patterns, ints(edits), ints(need), ints(parts), grams, np.append(first, len(flat)), ints(owner[order]), ints(place[order]), sieve)
+    need = lengths + 1 - rules.q - k * rules.q
+    first = np.append(first, len(flat)).astype(np.int32)
+    return Index(narrow(of), narrow(begin), lengths, rows, k, need, narrow(parts), np.array(exact, bool), grams, first, owner[order], place[order], np.packbits(sieve), tiny)
 
 
 def _slot(c: np.ndarray) -> np.ndarray:
@@ -161,76 +185,108 @@ def align(text: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndar
     return best, end
 
 
-def search(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, pattern, edits, first byte, end byte) of verified passages in concatenated texts."""
+def search(index: Index, data: np.ndarray, offsets: np.ndarray, sieve: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, pattern, edits, first byte, end byte) of verified passages in concatenated texts; some more than once."""
     x, at = normalise(data, offsets)
     c = codes(x)
     bounds = np.searchsorted(at, offsets)
     if not len(c) or not len(index.grams):
         return
-    hit = np.flatnonzero(index.sieve[_slot(c)])
+    hit = np.flatnonzero(sieve[_slot(c)])
     pos = np.searchsorted(index.grams, c[hit])
     ok = index.grams[np.minimum(pos, len(index.grams) - 1)] == c[hit]
     hit, pos = hit[ok], pos[ok]
     doc = np.searchsorted(bounds, hit, "right") - 1
     ok = hit + 8 <= bounds[doc + 1]  # no q-gram across texts
     hit, pos, doc = hit[ok], pos[ok], doc[ok]
-    times = index.first[pos + 1] - index.first[pos]
-    if not times.sum():
-        return
+    times = (index.first[pos + 1] - index.first[pos]).astype(np.int64)
+    spread = np.cumsum(times)
+    reach = int(index.lengths.max()) + 4 * _STEP  # places that one passage can span
+    i = 0
+    while i < len(hit):  # slices of so many postings, each with what a passage that ends in it can need
+        j = max(i + 1, int(np.searchsorted(spread, (spread[i - 1] if i else 0) + SPREAD, "right")))
+        part = slice(int(np.searchsorted(hit, hit[i] - reach)), j)
+        yield from _slice(index, x, at, bounds, offsets, hit[part], pos[part], doc[part], times[part])
+        i = j
+
+
+def _slice(index: Index, x, at, bounds, offsets, hit, pos, doc, times) -> Iterator[tuple[int, int, int, int, int]]:
+    low = int(hit[0])
     post = np.repeat(index.first[pos] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-    pattern = index.pattern[post]
-    diagonal = np.repeat(hit, times) - index.place[post] + 4 * _STEP * 64
-    doc = np.repeat(doc, times)
+    pattern = index.pattern[post].astype(np.int64)
+    shift = 4 * _STEP * 64 - low
+    diagonal = np.repeat(hit, times) - index.place[post] + shift
     band = diagonal // _STEP
-    n_patterns, n_bands = len(index.patterns), int(band.max()) + 2
-    key = (doc * n_patterns + pattern) * n_bands + band
+    first_doc = int(doc[0])
+    n_patterns, n_bands = len(index.of), int(band.max()) + 2
+    key = (np.repeat(doc - first_doc, times) * n_patterns + pattern) * n_bands + band
     keys, count = np.unique(key, return_counts=True)
     # A band is two steps: that of the key and the next.
     following = np.searchsorted(keys, keys + 1)
     found = np.minimum(following, len(keys) - 1)
     both = count + np.where(keys[found] == keys + 1, count[found], 0)
-    p_of = (keys // n_bands) % n_patterns
-    strong = both >= index.need[p_of]
-    mine, kinds = keys[strong], p_of[strong]
-    docs, edits = mine // n_bands // n_patterns, index.edits[kinds]
-    start = (mine % n_bands) * _STEP - 4 * _STEP * 64 - edits
+    strong = both >= index.need[(keys // n_bands) % n_patterns]
+    mine = keys[strong]
+    kinds = (mine // n_bands) % n_patterns
+    docs, edits, lengths = mine // n_bands // n_patterns + first_doc, index.edits[kinds].astype(np.int64), index.lengths[kinds].astype(np.int64)
+    start = (mine % n_bands) * _STEP - shift - edits
     width = 2 * _STEP + 2 * int(index.edits.max())
-    lengths = np.array([len(index.patterns[k]) for k in kinds], np.int64)
     for a in range(0, len(mine), 1024):
         s = slice(a, a + 1024)
-        rows = np.zeros((len(mine[s]), int(lengths[s].max())), np.uint8)
-        for i, k in enumerate(kinds[s]):
-            rows[i, : lengths[a + i]] = index.patterns[k]
+        rows = index.rows[kinds[s], : int(lengths[s].max())]
         cost, end = align(x, bounds[docs[s]], bounds[docs[s] + 1], start[s], rows, lengths[s], width)
         for i in np.flatnonzero(cost <= edits[s]):
-            d, m = int(docs[a + i]), int(lengths[a + i])
+            d, k, m = int(docs[a + i]), int(kinds[a + i]), int(lengths[a + i])
             stop = min(max(int(end[i]), int(bounds[d]) + 1), int(bounds[d + 1]))
             begin = max(int(bounds[d]), stop - m)
-            yield d, int(kinds[a + i]), int(cost[i]), int(at[begin] - offsets[d]), int(at[stop - 1] + 1 - offsets[d])
+            if index.exact[k] and not _at_word_ends(x, begin, stop, int(bounds[d]), int(bounds[d + 1])):
+                continue
+            yield d, k, int(cost[i]), int(at[begin] - offsets[d]), int(at[stop - 1] + 1 - offsets[d])
+
+
+def _at_word_ends(x: np.ndarray, begin: int, stop: int, low: int, high: int) -> bool:
+    return (begin == low or x[begin - 1] == 32) and (stop == high or x[stop] == 32)
 
 
-def _finder(index_of, id_field: str):
-    names = [id_field, "item", "edits", "n_windows", "windows", "begin", "end"]
-    kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+def _finder(shared, names: list[str]):
+    kinds = [pa.int64()] * 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_of.value
+        index = Index(*shared.value)
+        sieve = np.unpackbits(index.sieve).view(bool)
+        least = max(map(len, index.tiny), default=0)
         for batch in batches:
             rows, found = [], {}
-            for p in tk.pieces(batch.column(1)):
-                for d, k, cost, a, b in search(index, p.data, p.offsets):
-                    one = found.setdefault((p.first + d, int(index.of[k])), {})
+            for data, offsets, first in tk.spans(batch.column(1)):
+                for d, k, cost, a, b in search(index, data, offsets, sieve):
+                    one = found.setdefault((first + d, int(index.of[k])), {})
                     if k not in one or one[k][0] > cost:
                         one[k] = (cost, a, b)
+                if least:  # only texts with so few comparable bytes can be a tiny item
+                    x, at = normalise(data, offsets)
+                    bounds = np.searchsorted(at, offsets)
+                    for d in np.flatnonzero(np.diff(bounds) <= least + 2):
+                        whole = x[bounds[d] : bounds[d + 1]].tobytes().strip(b" ")
+                        for n in index.tiny.get(whole, ()):
+                            found[(first + int(d), n)] = {0: (0, 0, int(offsets[d + 1] - offsets[d]))}
             for (d, item), one in sorted(found.items()):
                 rows.append((d, item, sum(v[0] for v in one.values()), int(index.parts[item]), len(one), min(v[1] for v in one.values()), max(v[2] for v in one.values())))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds[1:], strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names=names)
 
     return run
 
 
+def _indexes(items: list[tuple], rules: SearchRules) -> Iterator[tuple[list[tuple], Index]]:
+    """Indexes of a block of items, cut in halves until each is below its bound (a single item makes one whatever its size)."""
+    index = build([t for _, t in items], rules)
+    if index.size() <= rules.index_bytes or len(items) == 1:
+        yield items, index
+    else:
+        for half in (items[: len(items) // 2], items[len(items) // 2 :]):
+            yield from _indexes(half, rules)
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, rules: SearchRules | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item id, edits, n_windows, windows, begin, end) of every document and item with a matching pattern.
 
@@ -239,18 +295,22 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, rules: SearchRules | No
     """
     rules = rules or SearchRules()
     spark = docs.sparkSession
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    query = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("item_text")).where("item_text is not null")
+    item_kind = benchmark.schema[item_col].dataType
+    query = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("item_text")).where("item_text is not null")
     total = query.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // rules.block_bytes))
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    schema = T.StructType([docs.schema[id_col], *tk.fields("item long, edits long, n_windows long, windows long, begin long, end long")])
     out = []
     for block in range(blocks):
-        items = [tuple(r) for r in query.where(F.pmod(F.xxhash64("item_text"), F.lit(blocks)) == block).collect()]
-        items.sort(key=lambda r: (r[0] is None, r[0], r[1]))
-        index = spark.sparkContext.broadcast(build(items, rules))
-        found = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_finder(index, id_col), f"`{id_col}` {kind}, item long, edits long, n_windows long, windows long, begin long, end long")
-        names = F.broadcast(spark.createDataFrame([(i, r[0]) for i, r in enumerate(items)], f"item long, item_id {item_kind}"))
-        out.append(found.join(names, "item").select(id_col, "item_id", "edits", "n_windows", "windows", "begin", "end"))
+        held = [tuple(r) for r in query.where(F.pmod(F.xxhash64("item_text"), F.lit(blocks)) == block).collect()]  # about `block_bytes`
+        held.sort(key=lambda r: (r[0] is None, r[0], r[1]))
+        for items, index in _indexes(held, rules):
+            shared = spark.sparkContext.broadcast(tuple(vars(index).values()))  # `index_bytes` at most
+            found = rows.mapInArrow(_finder(shared, schema.names), schema)
+            names = T.StructType([T.StructField("n", T.LongType()), T.StructField("item_id", item_kind)])
+            of = F.broadcast(spark.createDataFrame([(i, r[0]) for i, r in enumerate(items)], names))  # no larger than the index
+            out.append(found.join(of, found["item"] == of["n"]).select(found[id_col], of["item_id"], "edits", "n_windows", "windows", "begin", "end"))
     return reduce(DataFrame.unionByName, out)
 
 
