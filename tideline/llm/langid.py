@@ -4,21 +4,25 @@ Each language has a smoothed distribution over hashed byte trigrams. For a docum
 estimates the proportions of the languages from its trigram counts; the language set is
 the one of the best penalised log likelihood among the nested sets of largest proportions.
 
+The search of larger sets ends when a bound on the likelihood of any mixture cannot pay for a
+further language: that of the full mixture plus its duality gap, which EM makes small.
+
 Defined cases: a null text, or one without a letter, is `und` with score 0 and an empty
 set. A label that is null teaches nothing. With no labelled row at all, every document is
-`und`. Ties between languages go to the smaller label. Repeated rows get equal results;
-columns other than those named are ignored.
+`und`. Ties between languages go to the smaller label. Repeated rows get equal results; an empty
+table gives no rows. Columns other than those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
 
@@ -36,9 +40,10 @@ class MixtureSettings:
     buckets: int = 1 << 15
     per_language: int = 20_000
     smoothing: float = 0.05
-    rounds: int = 12
+    rounds: int = 40
     penalty: float = 6.0
     max_languages: int = 1000
+    cells: int = 1 << 22  # of the table of buckets and languages, at most: with many languages buckets are fewer
 
 
 _LETTER_BYTES = np.full(256, 32, np.uint8)
@@ -105,6 +110,8 @@ def fit(labelled: DataFrame, settings: MixtureSettings | None = None, id_col: st
     if len(sizes) > s.max_languages:
         raise ValueError(f"more than {s.max_languages} labels; raise max_languages")
     languages = sorted(sizes)
+    if languages:
+        s = replace(s, buckets=min(s.buckets, 1 << (s.cells // len(languages)).bit_length() - 1))
     if not languages:
         return MixtureModel([], np.zeros((s.buckets, 0)), np.zeros((s.buckets, 0)), s)
     if any(n > s.per_language for n in sizes.values()):
@@ -124,16 +131,24 @@ def smoothed(table: np.ndarray, alpha: float) -> np.ndarray:
     return ((table + alpha) / (table.sum(0) + alpha * len(table))).astype(np.float64)
 
 
-def em(like: np.ndarray, counts: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-    """Mixture proportions of the columns of `like` for the counted grams, and the log likelihood."""
-    k = like.shape[1]
+def em(like: np.ndarray, counts: np.ndarray, rounds: int, close: float = 0.5) -> tuple[np.ndarray, float, float]:
+    """Mixture proportions of the columns of `like` for the counted grams, their log likelihood, and how far any may be above it.
+
+    The log likelihood is concave, so the largest slope towards one column bounds what is left to gain;
+    rounds end when that is `close`.
+    """
+    k, total = like.shape[1], counts.sum()
     pi = np.full(k, 1.0 / k)
-    total = counts.sum()
+    mixed = like @ pi
+    slope = (counts / mixed) @ like
     for _ in range(rounds if k > 1 else 0):
-        pi = (counts / (like @ pi)) @ like * pi / total
-        pi = np.maximum(pi, 1e-12)
+        if slope.max() - total <= close:
+            break
+        pi = np.maximum(slope * pi / total, 1e-12)
         pi /= pi.sum()
-    return pi, float(counts @ np.log(like @ pi))
+        mixed = like @ pi
+        slope = (counts / mixed) @ like
+    return pi, float(counts @ np.log(mixed)), max(0.0, float(slope.max() - total))
 
 
 def infer(model: MixtureModel, g: np.ndarray) -> list[tuple[int, float]]:
@@ -142,26 +157,32 @@ def infer(model: MixtureModel, g: np.ndarray) -> list[tuple[int, float]]:
     at, counts = tally(g, s.buckets)
     like, counts = model.prob[at], counts.astype(np.float64)
     price = s.penalty * np.log(max(2.0, counts.sum()))
-    pi, full = em(like, counts, s.rounds)
     singles = counts @ model.log_prob[at]
-    order = np.lexsort((np.arange(len(pi)), -np.round(pi, 9)))
     first = int(np.argmax(np.round(singles, 9)))
     best, chosen = float(singles[first]), [(first, 1.0)]
+    pi, full, gap = em(like, counts, s.rounds)
+    order = np.lexsort((np.arange(len(pi)), -np.round(pi, 9)))
     for k in range(2, len(pi) + 1):
-        if full - price * (k - 1) <= best:
-            break  # no larger set can make up for its price
+        if full + gap - price * (k - 1) <= best:
+            break  # no mixture of so many languages or more can make up for its price
         top = order[:k]
-        part, ll = em(like[:, top], counts, s.rounds)
+        part, ll, _ = em(like[:, top], counts, s.rounds)
         if ll - price * (k - 1) > best:
             best, chosen = ll - price * (k - 1), [(int(top[j]), float(part[j])) for j in np.lexsort((top, -np.round(part, 9)))]
     return chosen
 
 
-def _predictor(model_of, text_at: int, names: list[str]):
+RESULTS = ("lang_pred", "score", "lang_set", "lang_shares")
+
+
+def _predictor(shared, names: list[str]):
+    """(columns, text) -> the columns, and the prediction."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of.value
+        languages, prob, settings = shared.value
+        model = MixtureModel(languages, prob, np.log(prob), MixtureSettings(*settings))
         for batch in batches:
-            texts = batch.column(text_at)
+            texts = batch.column(batch.num_columns - 1)
             pred, score, sets, shares = [], [], [], []
             for p in tk.pieces(texts):
                 for i, g in enumerate(grams(p, model.settings.buckets)):
@@ -175,22 +196,27 @@ def _predictor(model_of, text_at: int, names: list[str]):
                     score.append(min(1.0, chosen[0][1]) if chosen else 0.0)
                     sets.append([model.languages[j] for j, _ in chosen])
                     shares.append([v for _, v in chosen])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(names)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
-                names=[*names, "lang_pred", "score", "lang_set", "lang_shares"],
-            )
+            made = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
 
     return run
 
 
-def predict(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, results: tuple[str, ...] = RESULTS) -> DataFrame:
     """Predicted language, its share, and the chosen set with all shares, of every document.
 
-    With `keep`, all columns of the documents stay beside them, else the id alone; columns of
-    the documents that are named like a result give way to it.
+    They stand in columns named by `results`, beside the id, or beside the documents' `columns`, which must have other names.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages, both parameters
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_set", "lang_shares")] if keep else [id_col]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").alias("_text"))
-    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    return rows.mapInArrow(_predictor(shared, len(own), own), f"{shape}, lang_pred string, score double, lang_set array<string>, lang_shares array<double>")
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.prob, astuple(model.settings)))  # `cells` numbers at most
+    own = [docs.schema[c] for c in ([id_col] if columns is None else columns)]
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in own], F.col(f"`{text_col}`").alias(tk.fresh(docs, "whole")[0]))
+    kinds = (T.StringType(), T.DoubleType(), T.ArrayType(T.StringType()), T.ArrayType(T.DoubleType()))
+    schema = T.StructType([*own, *[T.StructField(n, k) for n, k in zip(results, kinds, strict=True)]])
+    return rows.mapInArrow(_predictor(shared, schema.names), schema)
+
+
+def keep_known(docs: DataFrame, model: MixtureModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns as they were, of which one language has at least the share `least`."""
+    names = tk.fresh(docs, *RESULTS)
+    found = predict(docs, model, text_col=text_col, columns=docs.columns, results=tuple(names))
+    return found.where((F.col(names[0]) != "und") & (F.col(names[1]) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

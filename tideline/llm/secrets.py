@@ -6,8 +6,8 @@ as intervals; a binned interval join within a scope around each weak secret repo
 secret and its partners only when complementary parts co-occur.
 
 Offsets are code points, ends exclusive. Defined cases: a null or empty text has no spans.
-Rows that are equal in id and text get equal results. Columns other than the id and the
-text are ignored. Very long texts are scanned whole; the join is by (row, bin) with one
+Rows that are equal in id and text get equal results. An empty table gives no rows. Columns other
+than the id and the text are ignored, whatever their names. Very long texts are scanned whole; the join is by (row, bin) with one
 pre-aggregated partner row per role, so its size is linear in the number of parts. The
 partners' own spans come from a join of the parts in the same bins, which are as long as a
 scope and hold a bounded number of parts. Partners are reported, not redacted.
@@ -114,7 +114,7 @@ def find_secrets(docs: DataFrame, rules: LinkRules | None = None, id_col: str =
     """(id, text_key, base, linked, partners): strong spans, the weak secrets that co-occurrence adds, and the parts in their scopes, one row a document."""
     rules = rules or LinkRules()
     kind = docs.schema[id_col].dataType.simpleString()
-    scanned = docs.select(F.col(id_col), F.col(text_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_key")).mapInArrow(
+    scanned = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("text_key")).mapInArrow(
         _scanner(rules, id_col), f"`{id_col}` {kind}, text_key string, base {_SPANS}, parts {_SPANS}"
     )
     scanned = tk.Scratch(docs.sparkSession, "secrets").save(scanned)  # no texts; read three times below
@@ -178,10 +178,11 @@ def _redactor(names: list[str], text_at: int):
 
 def redact_secrets(docs: DataFrame, rules: LinkRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every found span replaced by a mark; all rows and columns stay."""
-    found = find_secrets(docs, rules, id_col, text_col).select(F.col(id_col).alias("f_id"), F.col("text_key").alias("f_text"), F.concat("base", "linked").alias("f_spans"))
-    found = found.where(F.size("f_spans") > 0).dropDuplicates(["f_id", "f_text"])
-    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("f_id")) & (key == F.col("f_text")), "left").select(*[docs[c] for c in docs.columns], "f_spans")
+    rid, rtext, rspans = tk.fresh(docs, "f_id", "f_text", "f_spans")
+    found = find_secrets(docs, rules, id_col, text_col).select(F.col(f"`{id_col}`").alias(rid), F.col("text_key").alias(rtext), F.concat("base", "linked").alias(rspans))
+    found = found.where(F.size(rspans) > 0).dropDuplicates([rid, rtext])
+    key = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)
+    joined = docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(rid)) & (key == F.col(rtext)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], rspans)
     return joined.mapInArrow(_redactor(docs.columns, docs.columns.index(text_col)), docs.schema)
 
 
