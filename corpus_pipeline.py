@@ -24,8 +24,7 @@ from tideline.llm.textkit import shared_dir, table
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn the labelled languages of the documents and keep those with a main language."""
-    predicted = langid.predict(docs, langid.fit(docs), keep=True)
-    return predicted.where("lang_pred <> 'und' and score >= 0.5").select(docs.columns)
+    return langid.keep_known(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
