@@ -82,6 +82,15 @@ def test_zip_made_by_others_with_a_comment():
         warc.ZipReader(lambda a, n: b"junk"[a : a + n], 4)
 
 
+def test_index_lines_are_sorted_and_complete():
+    lines = warc.index_lines([("1", "http://www.B.example/x y?q=1", "response", 0, 10), ("2", "http://a.example", "revisit", 10, 5), ("3", "http://[bad", "response", 15, 2)]).decode().splitlines()
+    assert [x.split(" ")[0] for x in lines] == ["example,a)/", "example,b,www)/x%20y?q=1", "http://[bad"] and lines == sorted(lines)
+    assert all(x.split(" ")[1] == "19700101000000" for x in lines)
+    import json
+
+    assert sorted((int(e["offset"]), int(e["length"])) for e in (json.loads(x.split(" ", 2)[2]) for x in lines)) == [(0, 10), (10, 5), (15, 2)]
+
+
 def test_damaged_records_are_told():
     with pytest.raises(ValueError):
         warc.parse_record(b"nonsense")

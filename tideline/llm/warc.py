@@ -1,7 +1,7 @@
 """WARC archives packed in ZIP files, and a reader that never unpacks them.
 
 A package is a ZIP whose members are stored, not deflated: `archive/data.warc.gz` (one gzip
-member a record) and `indexes/index.cdxj` (one line a record with its place). The reader
+member a record) and `indexes/index.cdxj` (a CDXJ line a record: sort key, time, JSON with its place). The reader
 parses the end-of-central-directory record, the ZIP64 locator and directory where present,
 and the central directory; it finds where a stored member's bytes begin from its local
 header, and then reads records by byte ranges of the package.
@@ -21,11 +21,12 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -38,6 +39,7 @@ from . import textkit as tk
 tk.ship(__name__)
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+DATE = "1970-01-01T00:00:00Z"  # pages have no time of their own
 _U32, _U16 = 0xFFFFFFFF, 0xFFFF
 
 
@@ -53,7 +55,7 @@ def record(kind: str, target: str, record_id: str, digest: str, payload: bytes,
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Target-URI: {target}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Record-ID: <urn:page:{record_id}>",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Target-URI: {target}", f"WARC-Date: {DATE}", f"WARC-Record-ID: <urn:page:{record_id}>",
         f"WARC-Payload-Digest: sha1:{digest}", f"Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
@@ -173,9 +175,27 @@ _WRITTEN = "package string, records long, bytes long"
 _ROLL = 256 << 20  # a task starts a new package beyond so many bytes
 
 
-def _write_package(fs, path: str, data_path: str, entries: list[tuple[str, int, int]], crc: int, size: int) -> int:
+def sort_key(url: str) -> str:
+    """A URL with its host's labels the other way round, lower-cased, as indexes sort by it."""
+    try:
+        parts = urlsplit(url)
+        host = ",".join(reversed((parts.hostname or "").split(".")))
+    except ValueError:  # no URL at all
+        return url.lower().replace(" ", "%20")
+    rest = parts.path + (f"?{parts.query}" if parts.query else "")
+    return (f"{host}){rest or '/'}" if host else url).lower().replace(" ", "%20")
+
+
+def index_lines(entries: list[tuple[str, str, str, int, int]]) -> bytes:
+    """CDXJ: sort key, time and JSON of each record (id, url, type, offset, length), in sorted order."""
+    day = re.sub(r"\D", "", DATE)
+    line = lambda i, url, kind, a, n: json.dumps({"url": url, "id": i, "type": kind, "offset": str(a), "length": str(n), "filename": DATA.split("/")[-1]})
+    return "".join(sorted(f"{sort_key(e[1])} {day} {line(*e)}\n" for e in entries)).encode()
+
+
+def _write_package(fs, path: str, data_path: str, entries: list[tuple[str, str, str, int, int]], crc: int, size: int) -> int:
     """Pack a finished data file and its index. The data is copied through in blocks."""
-    lines = "".join(f"{json.dumps({'id': k, 'offset': str(a), 'length': str(n)})}\n" for k, a, n in entries).encode()
+    lines = index_lines(entries)
     icrc = zlib.crc32(lines)
     with fs.open_output_stream(path) as out:
         head = local_header(DATA, crc, size)
@@ -199,7 +219,7 @@ def _writer(root: str, level: int):
         fs.create_dir(base, recursive=True)
         ctx = TaskContext.get()
         task = f"{ctx.partitionId():06d}-{ctx.taskAttemptId()}" if ctx else "0"
-        out: list[tuple[str, int, int]] = []
+        out: list[tuple[str, int, int]] = []  # packages
         stream, entries, crc, size, number = None, [], 0, 0, 0
 
         def close():
@@ -219,7 +239,7 @@ def _writer(root: str, level: int):
                 target = quote(url or f"urn:page:{rid}", safe=":/?#[]@!$&'()*+,;=%~")
                 packed = gzip.compress(record(kind, target, rid, sha1_base32(payload), payload, len(payload), refers), level, mtime=0)
                 stream.write(packed)
-                entries.append((rid, size, len(packed)))
+                entries.append((rid, target, kind, size, len(packed)))
                 crc, size = zlib.crc32(packed, crc), size + len(packed)
                 if size >= _ROLL:
                     close()
@@ -267,41 +287,36 @@ def _indexer(root: str):
                     lines = f.read_at(size, at)
                 if zlib.crc32(lines) != z.members[INDEX][1]:
                     raise ValueError(f"the index of {path} is damaged")
-                run_at = run_to = None
+                places = sorted((int(e["offset"]), int(e["length"])) for e in (json.loads(x.split(b" ", 2)[2]) for x in lines.splitlines()))
                 starts, lengths = [], []
-                for e in map(json.loads, lines.splitlines()):
-                    a, n = start + int(e["offset"]), int(e["length"])
-                    if run_at is not None and a == run_to and run_to - run_at < _RANGE:
-                        run_to = a + n
+                for a, n in places:  # neighbours go together, as far as a range goes
+                    if starts and a == after and after - starts[-1] < _RANGE:
+                        lengths[-1].append(n)
                     else:
-                        if run_at is not None:
-                            starts.append(run_at)
-                            lengths.append(run_to - run_at)
-                        run_at, run_to = a, a + n
-                if run_at is not None:
-                    starts.append(run_at)
-                    lengths.append(run_to - run_at)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], names=["package", "start", "length"])
+                        starts.append(a)
+                        lengths.append([n])
+                    after = a + n
+                kinds = [pa.string(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([path] * len(starts), [start + a for a in starts], lengths), kinds, strict=True)], names=["package", "start", "lengths"])
 
     return run
 
 
-_RANGE = 8 << 20  # neighbouring records are fetched together, about so many bytes at a time
+_RANGE = 2 << 20  # neighbouring records are fetched together, about so many bytes at a time
 
 
 def _reader(root: str, keep_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(root)
         for batch in batches:
-            for path, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, at, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with fs.open_input_file(path) as f:
-                    data = f.read_at(n, at)
+                    data = memoryview(f.read_at(sum(lengths), at))
                 cols: list[list] = [[] for _ in range(7)]
-                while data:  # gzip members one after another
-                    z = zlib.decompressobj(31)
-                    plain = z.decompress(data)
-                    data = z.unused_data
-                    r = parse_record(plain)
+                end = 0
+                for n in lengths:  # one gzip member a record
+                    begin, end = end, end + n
+                    r = parse_record(zlib.decompress(data[begin:end], 31))
                     digest = r.headers["warc-payload-digest"].removeprefix("sha1:")
                     kind, size = r.headers["warc-type"], int(r.http["content-length"])
                     if kind == "response" and (len(r.payload) != size or sha1_base32(r.payload) != digest):
@@ -323,7 +338,7 @@ def read_archives(packages: DataFrame, root: str, keep_payload: bool = True) ->
     """
     spark = packages.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranges = packages.select("package").repartition(n, "package").mapInArrow(_indexer(root), "package string, start long, length long")
+    ranges = packages.select("package").repartition(n, "package").mapInArrow(_indexer(root), "package string, start long, lengths array<bigint>")
     return ranges.repartition(n, "package", "start").mapInArrow(
         _reader(root, keep_payload), "record_id string, target_uri string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
     )
