@@ -119,6 +119,32 @@ def test_sharding_law(spark, odd, odd_rows, empty):
     assert sharding.shard(empty, 4, 64).placed.count() == 0
 
 
+def test_the_stored_map_is_loaded_and_edited(spark, odd, tmp_path):
+    root = f"file://{tmp_path}/map"
+    one = sharding.shard(odd, 4, 64, root=root)
+    assert one.maps.versions() == [1, 2, 3] and (one.base, one.grown, one.even) == (1, 2, 3)
+    first = {r["doc_id"]: (r["shard"], r["rebalanced_shard"]) for r in one.placed.collect()}
+    two = sharding.shard(odd, 4, 64, root=root)  # goes on from the rebalanced map
+    assert two.maps.versions() == [1, 2, 3, 4, 5]
+    assert {r["doc_id"]: r["shard"] for r in two.placed.collect()} == {k: v[1] for k, v in first.items()}
+    base, even = one.maps.load(1), one.maps.load(3)
+    assert set(even.moved) == {s for s in range(64) if base.owner[s] != even.owner[s]}
+    load = Counter()
+    for r in one.placed.collect():
+        load[r["rebalanced_shard"]] += r["size"]
+    before = Counter()
+    for r in one.placed.collect():
+        before[r["shard"]] += r["size"]
+    assert max(load.values()) <= max(before.values())
+    with pytest.raises(ValueError):
+        sharding.shard(odd, 5, 64, root=root)
+    with pytest.raises(Exception, match="(?i)exist"):
+        one.maps.save(base, {})
+    sharding.write_shards(odd, one, f"{tmp_path}/out", columns=["doc_id", "text"])
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == odd.count() and {(r["doc_id"], r["shard"]) for r in got.collect()} == {(k, v[0]) for k, v in first.items()}
+
+
 def test_a_hot_key_is_split(spark):
     docs = spark.createDataFrame([(1, "same")] * 500 + [(1, f"t{i}") for i in range(300)] + [(i, "x") for i in range(200)], "doc_id int, text string")
     out = sharding.shard(docs, 3, 32).placed

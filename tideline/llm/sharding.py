@@ -18,9 +18,9 @@ gathers its rows.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -87,12 +87,43 @@ class SlotMap:
         return SlotMap(self.shards, tuple(owner), self.version + 1, tuple(sorted(moved)))
 
 
-def store(scratch: tk.Scratch, maps: list[SlotMap], slot_bytes: DataFrame) -> DataFrame:
-    """Write versions of a map with the bytes of each slot: one row a version and slot, `slots` x versions in all."""
-    rows = [(m.version, m.shards, s, o, s in set(m.moved)) for m in maps for s, o in enumerate(m.owner)]
-    spark = scratch.spark
-    entries = spark.createDataFrame(rows, "version int, shards int, virtual_slot long, shard int, moved boolean")
-    return scratch.save(entries.join(slot_bytes, "virtual_slot", "left"))
+class MapStore:
+    """Versions of a map as tables of one folder: a row a slot, never changed once written.
+
+    An edit reads the newest version, and writes only where nobody else has written the next one yet.
+    """
+
+    SCHEMA = "shards int, virtual_slot long, shard int, moved boolean, bytes long"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def versions(self) -> list[int]:
+        if not self._fs.exists(self._path("")):
+            return []
+        return sorted(int(n[1:]) for n in (x.getPath().getName() for x in self._fs.listStatus(self._path(""))) if n[:1] == "v" and n[1:].isdigit() and self._fs.exists(self._path(f"{n}/_SUCCESS")))
+
+    def load(self, version: int | None = None) -> SlotMap | None:
+        """A version of the map, or the newest; none where nothing is stored. `slots` rows are read."""
+        known = self.versions()
+        if not known:
+            return None
+        version = known[-1] if version is None else version
+        rows = sorted(self.read(version).select("virtual_slot", "shard", "shards", "moved").collect())
+        return SlotMap(rows[0]["shards"], tuple(r["shard"] for r in rows), version, tuple(r["virtual_slot"] for r in rows if r["moved"]))
+
+    def read(self, version: int) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.root}/v{version}")
+
+    def save(self, m: SlotMap, slot_bytes: dict[int, int]) -> SlotMap:
+        """Write a version with the bytes of each slot, `slots` rows; fails if that version is there."""
+        rows = [(m.shards, s, o, s in set(m.moved), slot_bytes.get(s, 0)) for s, o in enumerate(m.owner)]
+        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("error").parquet(f"{self.root}/v{m.version}")
+        return m
 
 
 def sized(docs: DataFrame, slots: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,24 +134,29 @@ def sized(docs: DataFrame, slots: int, id_col: str = "doc_id", text_col: str = "
 
 @dataclass(frozen=True)
 class Sharding:
-    """Placed records and the stored map: versions 1 (as is), 2 (one shard more), 3 (rebalanced by bytes)."""
+    """Placed records, and the stored map: the version that placed them, one shard more, and edited by bytes."""
 
     placed: DataFrame
-    maps: DataFrame
+    maps: MapStore
+    base: int
+    grown: int
+    even: int
 
 
 _SUB = 16  # a slot's places are counted in so many parts, so that a key with many different texts is split
 _RUN = 1 << 16  # equal rows get their places in runs of so many
 
 
-def shard(docs: DataFrame, shards: int = 16, slots: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> Sharding:
-    """Place every record: its shard now and with one shard more, and its place in its shard.
+def shard(docs: DataFrame, shards: int = 16, slots: int = 4096, id_col: str = "doc_id", text_col: str = "text", root: str | None = None) -> Sharding:
+    """Place every record: its shard now, with one shard more, and after a rebalance by bytes; and its place in its shard.
 
     `placed` has id, size, text_crc32, virtual_slot, shard, slot (from 0 without gaps in each
-    shard) and grown_shard.
+    shard), grown_shard and rebalanced_shard. The map is the newest under `root` (a first one is
+    written if there is none); its edits become the versions after it.
     """
     spark = docs.sparkSession
     scratch = tk.Scratch(spark, "shards")
+    store = MapStore(spark, root or scratch.path("map"))
     # One row for all rows that are equal in what is placed: their places follow from a count.
     kinds = scratch.save(sized(docs, slots, id_col, text_col).groupBy(id_col, "size", "text_crc32", "virtual_slot").agg(F.count("*").alias("n")))
     kinds = kinds.withColumn("sub", F.pmod("text_crc32", F.lit(_SUB)))
@@ -128,23 +164,28 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = 4096, id_col: str = "d
     totals: dict[int, int] = {}
     for r in per_sub:
         totals[r["virtual_slot"]] = totals.get(r["virtual_slot"], 0) + r["bytes"]
-    base = SlotMap.fresh(slots, shards)
-    grown = base.grown()
-    even = base.rebalanced(totals)
-    slot_bytes = spark.createDataFrame(list(totals.items()), "virtual_slot long, bytes long")
-    maps = store(scratch, [base, grown, SlotMap(even.shards, even.owner, 3, even.moved)], slot_bytes)
+    base = store.load() or store.save(SlotMap.fresh(slots, shards), totals)
+    if len(base.owner) != slots or base.shards != shards:
+        raise ValueError(f"the stored map has {len(base.owner)} slots and {base.shards} shards")
+    grown = store.save(base.grown(), totals)
+    even = store.save(replace(base.rebalanced(totals), version=grown.version + 1), totals)
     start, filled = [], [0] * shards
     for r in sorted(per_sub, key=lambda r: (r["virtual_slot"], r["sub"])):
         s, o = r["virtual_slot"], base.owner[r["virtual_slot"]]
-        start.append((s, r["sub"], o, grown.owner[s], filled[o]))
+        start.append((s, r["sub"], filled[o]))
         filled[o] += r["rows"]
-    starts = F.broadcast(spark.createDataFrame(start, "virtual_slot long, sub long, shard int, grown_shard int, start long"))
+    starts = F.broadcast(spark.createDataFrame(start, "virtual_slot long, sub long, start long"))
+    owner = [store.read(m.version).select("virtual_slot", F.col("shard").alias(name)) for m, name in ((base, "shard"), (grown, "grown_shard"), (even, "rebalanced_shard"))]
     w = f"OVER (PARTITION BY virtual_slot, sub ORDER BY `{id_col}`, size, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     places = kinds.withColumn("before", F.expr(f"sum(n) {w} - n")).join(starts, ["virtual_slot", "sub"])
-    places = places.select(id_col, "size", "text_crc32", "virtual_slot", "shard", "grown_shard", (F.col("start") + F.col("before")).alias("from"), F.expr("start + before + n - 1").alias("to"))
+    for version in owner:  # `slots` rows each
+        places = places.join(F.broadcast(version), "virtual_slot")
+    places = places.select(
+        id_col, "size", "text_crc32", "virtual_slot", "shard", "grown_shard", "rebalanced_shard", (F.col("start") + F.col("before")).alias("from"), F.expr("start + before + n - 1").alias("to")
+    )
     runs = places.withColumn("run", F.explode(F.sequence("from", "to", F.lit(_RUN)))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), id_col, "run")
     placed = runs.withColumn("slot", F.explode(F.sequence("run", F.least(F.col("to"), F.col("run") + _RUN - 1))))
-    return Sharding(placed.drop("from", "to", "run"), maps)
+    return Sharding(placed.drop("from", "to", "run"), store, base.version, grown.version, even.version)
 
 
 def write_shards(docs: DataFrame, sharding: Sharding, path: str, id_col: str = "doc_id", columns: list[str] | None = None) -> None:
