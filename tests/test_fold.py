@@ -1,6 +1,7 @@
 """Version checks against a plain loop, folds against each other, incremental against full."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +9,9 @@ from pyspark.sql import functions as F
 from tideline.operators import checks, decode, fold, order, sink
 from tideline.operators.reducers import Add, Set, count
 from tideline.operators.spec import ProjectionSpec, Registry, Settings
-from tideline.operators.store import ProjectionStore
+from tideline.operators.store import ProjectionStore, VersionedTable
 from tideline.plans.fold_queries import ORDER
-from tideline.streaming.runner import BatchRunner
+from tideline.streaming.runner import BatchRunner, EventRefused
 
 LOG = "model_id bigint, event_number bigint, global_position bigint, event_type string, created_on timestamp_ntz, amount decimal(18,2)"
 
@@ -98,7 +99,7 @@ def test_batches_equal_a_full_fold_and_repeats_change_nothing(spark, tmp_path, c
         runner.apply(part, i)  # the same batch again
         assert runner.store.state.pointer() == before
     want = fold.declarative(order.verdicts(numbered, "consecutive", "new", SPEC.deletes).where("verdict = 'applied'"), SPEC).where("not deleted").drop("deleted")
-    got = runner.store.state.read().drop("has_faulted").select(want.columns)
+    got = runner.store.models().select(want.columns)
     assert sorted(got.collect()) == sorted(want.collect())
     assert runner.store.failures.read().count() == 0
     assert runner.store.checkpoints.read().first()["global_position"] == str(numbered.agg(F.max("global_position")).first()[0])
@@ -113,8 +114,60 @@ def test_a_gap_quarantines_its_key_alone(spark, tmp_path):
     assert [(r["model_id"], r["failure_type"], r["event_number"]) for r in failures] == [(1, "EventOutOfOrder", 2)]
     state = {r["model_id"]: r for r in runner.store.state.read().collect()}
     assert state[1]["has_faulted"] and state[1]["event_number"] == 0 and not state[0]["has_faulted"] and state[0]["event_number"] > 1
-    with pytest.raises(Exception, match="out of order"):
-        order.refuse(order.verdicts(log, "consecutive", "new"), "halt").collect()
+    halting = BatchRunner(replace(SPEC, on_gap="halt"), ProjectionStore(spark, f"file://{tmp_path}", "Item", "green", "bigint", SPEC.fields))
+    for _ in range(2):  # the refused batch may come again
+        with pytest.raises(EventRefused, match="out of order"):
+            halting.apply(log, 0)
+        assert [(r["model_id"], r["failure_type"]) for r in halting.store.failures.read().collect()] == [(1, "EventOutOfOrder")]
+        assert halting.store.state.read().count() == 0 and halting.store.checkpoints.read().count() == 0
+
+
+def test_unknown_and_undecodable_events_meet_the_policies(spark, tmp_path):
+    log = item_log(spark, keys=4).where("event_type <> 'end'")
+    make = lambda name, **changes: BatchRunner(replace(SPEC, **changes), ProjectionStore(spark, f"file://{tmp_path}", "Item", name, "bigint", SPEC.fields))
+    with pytest.raises(Exception, match="unknown event odd"):
+        make("a", on_unknown="error").apply(log, 0)
+    bad = log.where("event_type <> 'odd'").withColumn("decode_status", F.expr("if(model_id = 2 and event_number = 0, 'failed', 'ok')"))
+    with pytest.raises(Exception, match="failed event new"):
+        make("b").apply(bad, 0)
+    runner = make("c", on_decode_error="quarantine")
+    runner.apply(bad, 0)
+    assert ("EventDeserialization", 2, 0) in [(r["failure_type"], r["model_id"], r["event_number"]) for r in runner.store.failures.read().collect()]
+    assert {r["model_id"] for r in runner.store.models().collect()} == {0, 1, 3}
+
+
+@pytest.mark.parametrize("cuts", [[], [1], [2], [3], [1, 2, 3, 4, 5]])
+def test_a_deleted_key_has_ended_wherever_batches_are_cut(spark, tmp_path, cuts):
+    rows = [(1, 0, 0, "new"), (1, 1, 1, "set"), (1, 2, 2, "end"), (1, 3, 3, "new"), (1, 4, 4, "set"), (2, 0, 5, "new")]
+    log = spark.createDataFrame([(*r, None, None) for r in rows], LOG)
+    runner = BatchRunner(SPEC, ProjectionStore(spark, f"file://{tmp_path}", "Item", "blue", "bigint", SPEC.fields))
+    edges = [0, *cuts, 100]
+    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        runner.apply(log.where((F.col("global_position") >= a) & (F.col("global_position") < b)), i)
+    assert [r["model_id"] for r in runner.store.models().collect()] == [2]
+    assert [(r["model_id"], r["event_number"]) for r in runner.store.failures.read().collect()] == [(1, 3)]
+
+
+def test_a_small_batch_rewrites_little(spark, tmp_path):
+    table = VersionedTable(spark, f"file://{tmp_path}/t", "k bigint, v string", ("k",))
+    assert table.put(spark.range(10_000).selectExpr("id as k", "'a' as v", "false as _gone"), 0)
+    base = table.pointer()["segments"]
+    want = {k: "a" for k in range(10_000)}
+    for b in range(1, 6):
+        change = spark.range(b * 100, b * 100 + 100).selectExpr("id as k", f"'b{b}' as v", "id % 10 = 0 as _gone")
+        assert table.put(change, b) and not table.put(change, b)
+        want |= {k: f"b{b}" for k in range(b * 100, b * 100 + 100)}
+        want = {k: v for k, v in want.items() if not (b * 100 <= k < b * 100 + 100 and k % 10 == 0)}
+        now = table.pointer()["segments"]
+        assert now[0] == base[0] and sum(s["rows"] for s in now[1:]) <= 100 * b and len(now) <= 5  # the base stays as it is
+    assert {r["k"]: r["v"] for r in table.read().collect()} == want
+    assert table.vacuum(1) == 5 and {r["k"]: r["v"] for r in table.read().collect()} == want
+    table.put(spark.range(10_000).selectExpr("id as k", "'z' as v", "false as _gone"), 9)
+    assert len(table.pointer()["segments"]) == 1 and table.read().where("v = 'z'").count() == 10_000
+    with pytest.raises(RuntimeError, match="someone else"):
+        other = VersionedTable(spark, table.path, table.schema, ("k",))
+        other._versions = lambda: table._versions()[:-1]
+        other.put(spark.range(1).selectExpr("id as k", "'y' as v", "false as _gone"), 10)
 
 
 def test_sink_outcomes(spark):

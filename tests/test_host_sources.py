@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators.spec import ProjectionSpec, Registry, Settings
+from tideline.operators.store import ProjectionStore
 from tideline.operators.reducers import count
 from tideline.sources import health
 from tideline.sources.datasource import JsonLog
@@ -105,3 +106,29 @@ def test_probes(spark):
 def test_flush_metrics(spark):
     rows = spark.createDataFrame([("inserted", 1), ("replaced", 2), ("updated", 9), ("stale", 3), ("failed", 4)], "outcome string, global_position long")
     assert tuple(flush_metrics(rows).first()) == (2, 1, 0, 1, 1, 9)
+
+
+def test_host_runs_what_is_wired(spark, tmp_path):
+    spark.dataSource.register(JsonLog)
+    (tmp_path / "log").mkdir()
+    lines(tmp_path / "log", "0.jsonl", range(9))
+    seen, flushes = [], []
+
+    def source(spark, options):
+        seen.append(options["maxOffsetsPerTrigger"])
+        return spark.readStream.format("tideline_log").option("path", f"file://{tmp_path}/log").load()
+
+    registry = Registry()
+    made = spec("A")
+    shape = lambda df: df.withColumns({"model_id": F.col("model_id").cast("bigint"), "created_on": F.col("created_on").cast("timestamp_ntz")}).where("model_id <> 2")
+    store = ProjectionStore(spark, f"file://{tmp_path}/tables", "A", "blue", "bigint", made.fields)
+    registry.add(made).reading(source).transformed_by(shape).stored_in(store)
+    host = Host(spark, registry)
+    host.run(f"file://{tmp_path}/check", catch_up=True, on_flush=flushes.append)
+    host.wait(60)
+    assert seen == ["10000"] and {r["model_id"]: r["n"] for r in store.models().collect()} == {0: 3, 1: 3}
+    assert sum(f["inserted"] for f in flushes) == 2 and flushes[-1]["flush_position"] is not None
+    with pytest.raises(ValueError, match="global ids"):
+        Registry().add(made).reading(source, numbering="global")
+    store.reset()
+    assert store.models().count() == 0

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY, NUMBER, POSITION, TYPE = "model_id", "event_number", "global_position", "event_type"
@@ -23,15 +23,20 @@ def verdicts(log: DataFrame, check: str = "consecutive", initial: str | None = N
     faulted (after a gap, or of a stored model that is faulted), state_not_found (no stored
     model and no initial event yet, or after a delete).
 
-    `stored` has model_id, event_number (null: unchecked) and has_faulted of stored models.
+    `stored` has model_id, event_number (null: unchecked) and has_faulted of stored models; a row
+    whose is_deleted is true, if there is that column, is a key that has ended at its global_position:
+    nothing more is applied to it, and events up to there are stale.
     """
     whole = Window.partitionBy(KEY)
     before = whole.orderBy(POSITION).rowsBetween(Window.unboundedPreceding, -1)
     n, at = F.col(NUMBER), F.col(POSITION)
     if stored is None:
-        rows = log.withColumns({"_has": F.lit(False), "_stored": F.lit(-1).cast("long"), "_bad": F.lit(False)})
+        rows = log.withColumns({"_has": F.lit(False), "_stored": F.lit(-1).cast("long"), "_bad": F.lit(False), "_ended": F.lit(None).cast("string")})
     else:
-        s = stored.select(F.col(KEY).alias("_key"), F.col(NUMBER).alias("_stored"), F.coalesce("has_faulted", F.lit(False)).alias("_bad"), F.lit(True).alias("_has"))
+        ended = F.when(F.col("is_deleted"), F.col(POSITION).cast("string")) if "is_deleted" in stored.columns else F.lit(None).cast("string")
+        s = stored.select(
+            F.col(KEY).alias("_key"), F.col(NUMBER).alias("_stored"), F.coalesce("has_faulted", F.lit(False)).alias("_bad"), F.lit(True).alias("_has"), ended.alias("_ended")
+        )
         rows = log.join(s, log[KEY] == s["_key"], "left").drop("_key")
         rows = rows.withColumns({"_stored": F.when(F.col("_has").isNull(), F.lit(-1).cast("long")).otherwise(F.col("_stored")), "_has": F.coalesce("_has", F.lit(False)), "_bad": F.coalesce("_bad", F.lit(False))})
     if initial is None:
@@ -59,7 +64,8 @@ def verdicts(log: DataFrame, check: str = "consecutive", initial: str | None = N
     if deletes:
         end = F.min(F.when((F.col("verdict") == "applied") & F.col(TYPE).isin(*deletes), at)).over(whole)
         out = out.withColumn("verdict", F.when(at > end, "state_not_found").otherwise(F.col("verdict")))
-    return out.drop("_has", "_stored", "_bad", "_in", "_last")
+    out = out.withColumn("verdict", F.when(at > F.col("_ended").cast(log.schema[POSITION].dataType), "state_not_found").when(F.col("_ended").isNotNull(), "stale").otherwise(F.col("verdict")))
+    return out.drop("_has", "_stored", "_bad", "_ended", "_in", "_last")
 
 
 def failures(judged: DataFrame, model_name: str, instance_id: str) -> DataFrame:
@@ -74,9 +80,11 @@ def failures(judged: DataFrame, model_name: str, instance_id: str) -> DataFrame:
     )
 
 
-def refuse(judged: DataFrame, on_gap: str) -> DataFrame:
-    """With `halt`, a gap stops the query; with `quarantine` its key alone."""
-    if on_gap == "quarantine":
-        return judged
-    stop: Column = F.when(F.col("verdict") == "gap", F.raise_error(F.concat(F.lit("event out of order for "), F.col(KEY).cast("string"))))
-    return judged.withColumn("verdict", F.coalesce(stop.cast("string"), F.col("verdict")))
+def undecoded(batch: DataFrame, model_name: str, instance_id: str) -> DataFrame:
+    """First event of each key whose payload could not be read, as a failure."""
+    first = F.min_by(F.struct(NUMBER, POSITION, "created_on"), POSITION).alias("f")
+    return batch.where("decode_status = 'failed'").groupBy(KEY).agg(first).select(
+        F.lit(model_name).alias("model_name"), F.lit(instance_id).alias("instance_id"), KEY, "f.event_number", F.col("f.global_position").cast("string").alias("global_position"),
+        F.col("f.created_on").alias("failure_created_on"), F.concat(F.lit("payload of event "), F.col("f.event_number").cast("string"), F.lit(" can't be read")).alias("exception"),
+        F.lit("EventDeserialization").alias("failure_type"),
+    )

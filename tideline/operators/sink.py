@@ -89,13 +89,18 @@ def persistence_failures(judged: DataFrame, model_name: str, instance_id: str, c
     )
 
 
-def add_failures(known: DataFrame, new: DataFrame, policy: str = "relational") -> DataFrame:
-    """Failures with the new ones of keys that have none yet; documents keep 500 characters of the text."""
+def new_failures(known: DataFrame, new: DataFrame, policy: str = "relational") -> DataFrame:
+    """The first of the new failures of each key that has none yet; documents keep 500 characters of the text."""
     keys = ["model_name", "instance_id", KEY]
     first = new.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in new.columns if c not in keys]), F.struct(NUMBER, "failure_type")).alias("f")).select(*keys, "f.*")
     if policy == "document":
         first = first.withColumn("exception", F.left("exception", F.lit(500)))
-    return known.unionByName(first.join(known.select(*keys), keys, "left_anti"))
+    return first.join(known.select(*keys), keys, "left_anti").select(*new.columns)
+
+
+def add_failures(known: DataFrame, new: DataFrame, policy: str = "relational") -> DataFrame:
+    """Failures with the new ones of keys that have none yet."""
+    return known.unionByName(new_failures(known, new, policy))
 
 
 def put_checkpoints(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -138,3 +143,12 @@ def check_children(schema, arrays: dict[str, str]) -> None:
         if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
             if f.name not in arrays or arrays[f.name] not in f.dataType.elementType.fieldNames():
                 raise ValueError(f"the child array {f.name} needs a key")
+
+
+def flush_metrics(classified: DataFrame) -> DataFrame:
+    """Counts of a flush by outcome, and the newest position that it covers; one row."""
+    n = lambda *o: F.count_if(F.col("outcome").isin(*o))
+    return classified.agg(
+        n("inserted", "replaced").alias("inserted"), n("updated").alias("updated"), n("deleted").alias("deleted"), n("stale", "missing", "kept", "applied_before").alias("skipped"),
+        n("failed").alias("failed"), F.max("global_position").alias("flush_position"),
+    )

@@ -22,6 +22,10 @@ class Flush:
         if self.strategy not in FLUSHES:
             raise ValueError(f"unknown flush strategy {self.strategy!r}")
 
+    def trigger(self) -> str:
+        """Processing-time trigger of a live query: at once, or so that changes gather for the delay."""
+        return "0 seconds" if self.strategy == "immediate" else f"{self.delay_ms} milliseconds"
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -122,8 +126,15 @@ class Builder:
     registry: Registry
     key: str
 
-    def reading(self, source: Callable) -> Builder:
-        """Source: (spark, start position) -> envelope DataFrame, batch or stream."""
+    def reading(self, source: Callable, numbering: str = "stream") -> Builder:
+        """Source: (spark, options) -> envelope stream. `numbering`: event numbers count by stream, or are ids of a "global" log.
+
+        Ids of a global log leave gaps in every stream, so they can't be checked for being consecutive.
+        """
+        if numbering not in ("stream", "global"):
+            raise ValueError(f"unknown numbering {numbering!r}")
+        if numbering == "global" and self.registry.specs[self.key].settings.version_check == "consecutive":
+            raise ValueError(f"{self.key} checks for consecutive numbers, and its source has global ids")
         self.registry.wiring[self.key]["source"] = source
         return self
 

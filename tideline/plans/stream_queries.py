@@ -17,6 +17,8 @@ from .fold_queries import ORDER, shown
 
 def _root(spark) -> str:
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir: a cluster needs a shared folder")
     return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='tideline-')}/stream-{uuid.uuid4().hex}"
 
 
@@ -29,7 +31,7 @@ def _written(spark, sf_dir, root: str, parts: int, names: list[str]):
     log = logs.order_log(spark, sf_dir).persist()
     for i, name in enumerate(names):
         low, high = 3 * i, 3 * (i + 1) if i + 1 < parts else 1 << 30
-        log.where((F.col("event_number") >= low) & (F.col("event_number") < high)).coalesce(2).write.mode("append").parquet(f"{root}/{name}")
+        log.where((F.col("event_number") >= low) & (F.col("event_number") < high)).write.mode("append").parquet(f"{root}/{name}")
     schema = log.schema
     log.unpersist()
     return schema
@@ -48,7 +50,7 @@ def stream_foreach_batch_final_state(spark, sf_dir):
         source = spark.readStream.schema(schema).parquet(f"{root}/{name}")
         q = source.writeStream.foreachBatch(lambda df, b, i=i: runner.apply(df, 1000 * i + b)).option("checkpointLocation", f"{root}/check-{name}").trigger(availableNow=True).start()
         q.awaitTermination()
-    return shown(runner.store.state.read().select(*_KEYS, *_MODEL))
+    return shown(runner.store.models().select(*_KEYS, *_MODEL))
 
 
 @query("catch_up_then_live", sql.ORDER_MODEL)
@@ -56,15 +58,15 @@ def catch_up_then_live(spark, sf_dir):
     """Half of the log is drained, the rest arrives while the query is live on the same checkpoint."""
     root = _root(spark)
     log = logs.order_log(spark, sf_dir)
-    log.where("event_number < 3").coalesce(2).write.parquet(f"{root}/log")
+    log.where("event_number < 3").write.parquet(f"{root}/log")
     runner = _runner(spark, root)
     live = runner.catch_up_then_live(lambda: spark.readStream.schema(log.schema).parquet(f"{root}/log"), f"{root}/check", "0 seconds")
     try:
-        log.where("event_number >= 3").coalesce(2).write.mode("append").parquet(f"{root}/log")
+        log.where("event_number >= 3").write.mode("append").parquet(f"{root}/log")
         live.processAllAvailable()
     finally:
         live.stop()
-    return shown(runner.store.state.read().select(*_KEYS, *_MODEL))
+    return shown(runner.store.models().select(*_KEYS, *_MODEL))
 
 
 @query("stream_transform_with_state_final", f"WITH m AS ({sql.ORDER_MODEL}) SELECT model_id, event_number, status, line_count, total_quantity, refund_count, gross FROM m")

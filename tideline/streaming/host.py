@@ -6,11 +6,14 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.sink import flush_metrics
 from ..operators.spec import Registry
+from .runner import BatchRunner
+
+__all__ = ["Host", "RetryBudget", "flush_metrics", "keep_running"]
 
 
 @dataclass
@@ -62,6 +65,28 @@ class Host:
         for key, start in starters.items():
             self.queries[key] = start()
 
+    def runner(self, key: str, on_flush: Callable[[dict], None] | None = None) -> BatchRunner:
+        """The runner that a projection's wiring describes."""
+        wired = self.registry.wiring[key]
+        if "store" not in wired:
+            raise ValueError(f"{key} has no store")
+        return BatchRunner(self.registry.specs[key], wired["store"], wired["policy"], on_flush=on_flush)
+
+    def stream(self, key: str):
+        """The source of a projection, bounded by its settings, through its transform if it has one."""
+        wired, settings = self.registry.wiring[key], self.registry.specs[key].settings
+        if "source" not in wired:
+            raise ValueError(f"{key} has no source")
+        rows = wired["source"](self.spark, settings.stream_options())
+        return wired["transform"](rows) if "transform" in wired else rows
+
+    def run(self, checkpoints: str, catch_up: bool = False, on_flush: Callable[[dict], None] | None = None) -> None:
+        """Start every registered projection from its wiring: over all that is there (`catch_up`), or live."""
+        runners = {key: self.runner(key, on_flush) for key in self.registry.specs}
+        for r in runners.values():
+            r.store.create()
+        self.start({key: lambda key=key, r=r: r.start(self.stream(key), f"{checkpoints.rstrip('/')}/{key.replace('::', '-')}", catch_up) for key, r in runners.items()})
+
     def wait(self, timeout: float | None = None) -> None:
         """Until all have ended; the first failure stops the others and is raised."""
         ends = None if timeout is None else time.monotonic() + timeout
@@ -83,12 +108,3 @@ class Host:
         for q in self.queries.values():
             if q.isActive:
                 q.stop()
-
-
-def flush_metrics(classified: DataFrame) -> DataFrame:
-    """Counts of a flush by outcome, and the newest position that it covers; one row."""
-    n = lambda *o: F.count_if(F.col("outcome").isin(*o))
-    return classified.agg(
-        n("inserted", "replaced").alias("inserted"), n("updated").alias("updated"), n("deleted").alias("deleted"), n("stale", "missing", "kept", "applied_before").alias("skipped"),
-        n("failed").alias("failed"), F.max("global_position").alias("flush_position"),
-    )
