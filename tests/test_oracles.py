@@ -35,7 +35,7 @@ def rows(df):
     return sorted((tuple(map(plain, r)) for r in df.itertuples(index=False, name=None)), key=repr)
 
 
-SLOW = {"order_projection_python_fold", "stream_foreach_batch_final_state", "catch_up_then_live", "stream_transform_with_state_final"}
+SLOW = {"order_projection_python_fold", "stream_foreach_batch_final_state", "catch_up_then_live", "stream_transform_with_state_final", "runner_gap_stateful"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.ORACLES) - SLOW))

@@ -57,12 +57,12 @@ class ProjectionSpec:
     """A read model folded from events.
 
     `handlers` gives each event type its reducers, by field; `deletes` are types that end a
-    model; `ignored` are known types without effect. `initial` is the type that creates one.
+    model; `ignored` are known types without effect. `initial` is the type that creates one (none: any does).
     """
 
     model_name: str
     fields: dict[str, str]  # field -> Spark type
-    initial: str
+    initial: str | None
     handlers: dict[str, dict[str, Reducer]]
     deletes: tuple[str, ...] = ()
     ignored: tuple[str, ...] = ()
@@ -76,7 +76,7 @@ class ProjectionSpec:
     def __post_init__(self):
         if not self.model_name.strip():
             raise ValueError("a projection needs a model name")
-        if self.initial not in self.handlers:
+        if self.initial is not None and self.initial not in self.handlers:
             raise ValueError("the initial event needs a handler")
         for kind, reducers in self.handlers.items():
             if unknown := set(reducers) - set(self.fields):

@@ -159,7 +159,7 @@ class FoldProcessor(StatefulProcessor):
                     raise RuntimeError(f"unknown event {e[TYPE]}")
                 continue
             n = int(e[NUMBER])
-            if old is None and e[TYPE] == self.initial:
+            if old is None and self.initial in (None, e[TYPE]):
                 old = {NUMBER: -1, POSITION: -1, **{n: 0 if n in self.sums else None for n in self.names}, "has_faulted": False, "is_deleted": False}
             if old is None or old["is_deleted"]:
                 failure = failure or f"no state for event {n}"
