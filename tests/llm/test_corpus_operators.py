@@ -569,3 +569,80 @@ def test_pipeline(spark):
     out = cp.run(spark, SF)
     assert out.count() == held and out.where("n_chars <> length(text)").count() == 0
     assert registry.secrets.find_secrets(out).where("size(base) > 0").count() == 0
+
+
+def test_stages_on_odd_documents(spark, odd_rows, tmp_path, words):
+    """Nulls, repeats, ties, clashing names and empty tables through every stage, against plain versions of what each may drop."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item, secret = say(14), "password = hunter2secret"
+    rows = [(i, t, "en" if i is None or i % 2 else "de") for i, t, _ in odd_rows]
+    rows += [(None, say(30), "en"), (None, "x " + item + " y", "en"), (None, None, None), (9, secret + " " + say(30), None), (300, say(20) + "\nAKIA" + "Q" * 16, "en"), (300, say(20), "en"), (301, say(20), None)]
+    names = ["score", "lang_pred", "lang_set", "lang_shares", "f_id", "f_text", "f_spans", "piece_ids", "r_units", "bad_id", "bad_key", "k_id", "k_text", "best", "led", "chunk", "whole", "set_key", "in_group"]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} double" for n in names)
+    own = [0.125] * len(names)
+    docs = spark.createDataFrame([(i, t, c, "s", None if t is None else len(t), *own) for i, t, c in rows], shape).repartition(3)
+    sf = f"{tmp_path}"
+    spark.createDataFrame([(1, item), (2, None), (2, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    of = lambda df: Counter((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+    whole = of(docs)
+    letters = lambda t: any(map(str.isalpha, t or ""))
+    got = {}
+    for name, stage in cp.STAGES:
+        out = tk.Scratch(spark, "t").save(stage(spark, docs, sf))
+        assert out.columns == docs.columns if name != "pieces" else set(out.columns) == set(docs.columns), name
+        assert out.where(" or ".join(f"{n} <> 0.125 or {n} is null" for n in names if n != "piece_ids")).count() == 0, name
+        got[name] = of(out)
+        assert stage(spark, docs.where("false"), sf).count() == 0, name
+    assert set(got["language"]) <= {k for k in whole if letters(k[1])} and all(got["language"][k] in (0, whole[k]) for k in whole)
+    assert sum(got["language"].values()) >= 0.8 * sum(n for k, n in whole.items() if letters(k[1]))
+    kept, groups = got["near_duplicates"], defaultdict(list)
+    sets = [(k, sets_of(k[1])) for k in whole]
+    root = list(range(len(sets)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a][1] & sets[b][1])
+            if both and 100 * both >= 75 * len(sets[a][1] | sets[b][1]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    for i, (k, s) in enumerate(sets):
+        groups[find(i)].append((k, s))
+    for members in groups.values():
+        if not members[0][1]:
+            assert all(kept[k] == whole[k] for k, _ in members)  # no words: linked with nothing
+        else:
+            alive = [k for k, _ in members if kept[k]]
+            assert len(alive) == 1 and kept[alive[0]] == 1
+            assert (alive[0][0] is None, alive[0][0]) == min(((k[0] is None, k[0]) for k, _ in members), key=lambda x: (x[0], x[1] or 0))
+    assert got["decontamination"] == Counter({k: n for k, n in whole.items() if item not in (k[1] or "")})
+    changed = Counter({k: n for k, n in whole.items() if k[1] is None or (secret not in k[1] and "AKIA" not in k[1])})
+    assert sum(got["secrets"].values()) == sum(whole.values()) and not changed - got["secrets"]
+    assert not any(secret in (t or "") or "AKIAQ" in (t or "") for _, t in got["secrets"])
+    assert got["pieces"] == whole
+
+
+def test_pipeline_ids_equal_a_plain_version(spark):
+    """The ids that the first four stages keep, by the predicted language, plain sets, plain search and plain spans."""
+    import corpus_pipeline as cp
+    from tideline.llm import langid, secrets
+
+    docs = tk.table(spark, SF, "documents")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = langid.predict(docs, langid.fit(docs)).collect()
+    rows = {k: t for k, t in rows.items() if k in {r["doc_id"] for r in found if r["lang_pred"] != "und" and r["score"] >= 0.5}}
+    least = {k: c for k, _, c in brute([(k, t) for k, t in rows.items()])}
+    rows = {k: t for k, t in rows.items() if least[k] == k}
+    index = decontam.build([r["text"] for r in tk.table(spark, SF, "benchmark").collect()], decontam.SearchRules())
+    sieve = np.unpackbits(index.sieve).view(bool)
+    clean = {}
+    for k, t in rows.items():
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        if not any(decontam.search(index, raw, np.array([0, len(raw)]), sieve)):
+            clean[k] = t
+    out = {r["doc_id"]: r for r in cp.run(spark, SF).collect()}
+    assert set(out) == set(clean) and len(out) < docs.count()
+    for k, t in clean.items():
+        if not secrets.base_spans(t) and "[redacted]" not in out[k]["text"]:
+            assert out[k]["text"] == t and out[k]["n_chars"] == len(t)

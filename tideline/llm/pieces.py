@@ -185,6 +185,7 @@ def _counter(rules_of):
                         held, size, last = [], 0, 0
         if held:
             yield out(_merged(held))
+        tk.release()
 
     return run
 
@@ -293,7 +294,8 @@ class Lookup:
 
     hashes: np.ndarray
     starts: np.ndarray
-    offsets: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
     ids: np.ndarray
     shift: np.uint64
 
@@ -307,14 +309,14 @@ class Lookup:
             lengths.append(np.diff(cuts))
             ids.append(flat.astype(np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.int32))
         h, n, flat = np.concatenate(hashes), np.concatenate(lengths), np.concatenate(ids)
+        del hashes, lengths, ids, parts
+        bounds = np.r_[0, np.cumsum(n)]
         order = np.argsort(h, kind="stable")
-        first = np.r_[0, np.cumsum(n)]
-        offsets = np.r_[0, np.cumsum(n[order])]
-        flat = flat[np.repeat(first[:-1][order] - offsets[:-1], n[order]) + np.arange(int(offsets[-1]))]
+        h, begins, ends = h[order], bounds[:-1][order], bounds[1:][order]  # the ids stay where they are
         bits = max(1, len(h).bit_length() - 1)
         shift = np.uint64(64 - bits)
         counts = np.bincount((h >> shift).astype(np.int64), minlength=1 << bits)
-        return Lookup(h[order], np.r_[0, np.cumsum(counts)], offsets, flat, shift)
+        return Lookup(h, np.r_[0, np.cumsum(counts)].astype(np.int32), begins.astype(np.int32), ends.astype(np.int32), flat, shift)
 
     @staticmethod
     def load(uri: str, byte_zero: int, chunk: int | None = None) -> Lookup:
@@ -381,6 +383,7 @@ def _rare(rules_of, uri: str, byte_zero: int):
                     size += len(held[-1])
         if held:
             yield out()
+        tk.release()
 
     return run
 
@@ -401,7 +404,7 @@ def _encoder(rules_of, uri: str, fills: str, buckets: int, byte_zero: int, names
                     place = at[which] if table is look else own.places(h[which])
                     if (place < 0).any():
                         raise RuntimeError("a unit of the text was not counted: the documents changed between two reads")
-                    first[which], last[which] = table.offsets[place] + shift, table.offsets[place + 1] + shift
+                    first[which], last[which] = table.begins[place] + shift, table.ends[place] + shift
             times = last - first
             ends = np.r_[0, np.cumsum(times)]
             out.append(every[np.repeat(first - ends[:-1], times) + np.arange(int(ends[-1]))].astype(np.int32))
@@ -420,6 +423,7 @@ def _encoder(rules_of, uri: str, fills: str, buckets: int, byte_zero: int, names
                     ids = ids_of(part.column(part.num_columns - 2), look, own, rules)
                     back = [pa.array(decode_lists(ids, *bytes_of.value), pa.string())] if bytes_of else []
                     yield pa.RecordBatch.from_arrays([*part.columns[:-2], ids, *back], names=names)
+        tk.release()
 
     return run
 

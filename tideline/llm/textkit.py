@@ -135,6 +135,11 @@ def shingle_sets(piece: Piece, width: int = 5) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def release() -> None:
+    """Give memory that a task is done with back: idle workers wait for other tasks beside their executor."""
+    pa.default_memory_pool().release_unused()
+
+
 def spans(column: pa.Array, size: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(bytes, text offsets, first row) of consecutive texts of about `size` bytes, one text at least; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -162,9 +167,11 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[Piece]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of its own only where none is set, as in tests."""
+    """The cluster's shared folder; one of its own only where none is set on a local master, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir: executors need a folder that all of them share")
         import tempfile
 
         where = spark.conf.get("spark.tideline.scratch", None)
