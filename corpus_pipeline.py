@@ -9,6 +9,12 @@ near_duplicates  one document, that of the smallest id, of each group linked by
 decontamination  documents that hold a passage of a benchmark item go
 secrets          found spans are replaced by a mark, and n_chars is counted anew
 pieces           the piece ids of each text are added
+
+Defined cases, the same in every stage: an empty table gives an empty one. Columns that the documents
+have beyond those of `documents` stay as they are, whatever their names. Rows are told apart by id and
+text, so a null id, or an id that other rows have too, neither keeps nor drops those others. A null, empty
+or blank text has no letters and goes in the first stage; a later stage that meets one keeps it as it is.
+Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -23,23 +29,27 @@ from tideline.llm.textkit import shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn the labelled languages of the documents and keep those with a main language."""
+    """Learn the labelled languages of the documents and keep rows of which half or more is in one of them; with no label at all none is."""
     return langid.keep_known(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of rows linked by 75 % of their 5-word shingles: the smallest id (null last), of rows equal in id and text any one."""
     return ngramjoin.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose texts hold no passage of an item of `benchmark`; all of them if it is empty."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with a mark in place of each secret; `n_chars` is that of the new text (null for a null text)."""
     return secrets.redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with `piece_ids`, no ids for a null or empty text; a column of that name gives way."""
     model = pieces.PieceTable.load(f"{registry.TOKENIZERS}/piece_bpe_32k.model")
     return pieces.encode(docs, model)
 
