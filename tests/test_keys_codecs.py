@@ -99,3 +99,21 @@ def test_names():
     assert codecs.namespaced("CheckPoints", "sales", True) == "sales.CheckPoints"
     assert codecs.namespaced("sales_CheckPoints", "sales", False) == "sales_CheckPoints"
     assert codecs.namespaced("x", None, True) == "x"
+
+
+def test_records_and_back(spark):
+    from tideline.sources import logs, topics
+
+    log = logs.user_log(spark, "/root/testdata/sf0.001").withColumn("seq", F.col("global_position"))
+    sent = topics.encode_records(log, "user-events").withColumns({"partition": F.lit(0), "offset": F.monotonically_increasing_id(), "timestamp": F.lit(None).cast("timestamp")})
+    got = topics.decode_records(sent, parse=keys.number)
+    columns = ["model_id", "event_type", "event_number", "payload"]
+    assert sorted(got.where("record_error is null").select(columns).collect()) == sorted(log.select(columns).collect())
+
+
+def test_vector_positions_whatever_the_blocks(spark):
+    from tideline.sources import logs, topics
+
+    records = logs.topic_records(spark, "/root/testdata/sf0.001")
+    got = [sorted(tuple(r) for r in topics.vector_positions(records, [0, 1, 2, 3], block=b).select("seq", "offsets").collect()) for b in (7, 100, 1 << 16)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == records.count()

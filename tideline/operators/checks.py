@@ -63,7 +63,11 @@ def drained(last_seen: int | None, last_flushed: int | None, stored: int, expect
 
 def generate_orders(spark: SparkSession, orders: int, seed: int = 7331, abandon: float = 0.2, refund: float = 0.1) -> DataFrame:
     """A deterministic order log: created, fees, confirmed or abandoned, and for some confirmed ones a refund of 1.00."""
-    draw = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("id")), F.lit(1_000_000)) / 1_000_000
+    def draw(salt: int) -> Column:
+        """A number from 0 to 1 by MD5, which any engine can draw again."""
+        text = F.md5(F.concat_ws(":", F.lit(seed), F.lit(salt), F.col("id")).cast("binary"))
+        return F.conv(F.substring(text, 1, 6), 16, 10).cast("long") / float(1 << 24)
+
     base = spark.range(orders).withColumns({"_end": F.when(draw(1) < abandon, "OrderAbandoned").otherwise("OrderConfirmed"), "_back": draw(2) < refund})
     kinds = F.array(F.lit("OrderCreated"), F.lit("OrderFeesCalculated"), F.col("_end"))
     kinds = F.when((F.col("_end") == "OrderConfirmed") & F.col("_back"), F.concat(kinds, F.array(F.lit("RefundAppliedToOrder")))).otherwise(kinds)

@@ -222,8 +222,16 @@ def immediate_flush_states(spark, sf_dir):
     return shown(fold.running(judged, USER))
 
 
-@query("model_count_batches")
+@query(
+    "model_count_batches",
+    f"""WITH RECURSIVE {sql.USERS}, r AS (SELECT model_id, global_position, coalesce(lag(global_position) OVER (PARTITION BY model_id ORDER BY global_position), -1) AS earlier FROM ulog),
+    b(n, s) AS (SELECT 0::BIGINT, 0::BIGINT UNION ALL
+      SELECT n + 1, (SELECT max(global_position) + 1 FROM (SELECT global_position FROM r WHERE global_position >= b.s AND earlier < b.s ORDER BY global_position LIMIT 20))
+      FROM b WHERE (SELECT count(*) FROM r WHERE global_position >= b.s AND earlier < b.s) >= 20)
+    SELECT model_id, global_position, n AS batch_id FROM r ASOF JOIN b ON r.global_position >= b.s""",
+)
 def model_count_batches(spark, sf_dir):
+    """Batches that close at 20 distinct models; a batch's 20th new model is the 20th row whose model was not seen since its start."""
     rows = logs.user_log(spark, sf_dir).select("model_id", "global_position")
     return fold.greedy_batches(rows, 20)
 

@@ -89,17 +89,31 @@ def decode_records(records: DataFrame, parse=guid, mode: str = "strict") -> Data
     return out.withColumn("record_error", F.when(F.col("record_error").isNotNull(), F.raise_error(F.concat(F.lit("bad record: "), "record_error"))).cast("string"))
 
 
-def vector_positions(records: DataFrame, partitions: list[int], order: str = "seq") -> DataFrame:
+def vector_positions(records: DataFrame, partitions: list[int], order: str = "seq", block: int = 1 << 16) -> DataFrame:
     """Position of each record: the last offset of every partition up to it, in the order read.
 
-    `records` are rows of one topic with `seq`, their reading order; the partitions are known
-    from the source, so each has its running maximum.
+    `records` are rows of a topic with `seq`, a number that gives their reading order; the partitions are
+    known from the source, so each has its running maximum: within blocks of `block` numbers, each a group
+    of its own, and on top of the blocks before, one row each.
     """
-    w = Window.partitionBy("topic").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    entries = [F.struct(F.lit(p).alias("key"), F.max(F.when(F.col("partition") == p, F.col("offset"))).over(w).alias("value")) for p in sorted(partitions)]
+    rows = records.withColumn("_block", F.floor(F.col(order) / block))
+    at = lambda p: F.max(F.when(F.col("partition") == p, F.col("offset")))
+    within = Window.partitionBy("topic", "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("topic").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("topic", "_block").agg(*[at(p).alias(f"_m{p}") for p in partitions])
+    blocks = blocks.select("topic", "_block", *[F.max(f"_m{p}").over(before).alias(f"_b{p}") for p in partitions])
+    rows = rows.select("*", *[at(p).over(within).alias(f"_w{p}") for p in partitions]).join(blocks, ["topic", "_block"])
+    entries = [F.struct(F.lit(p).alias("key"), F.greatest(f"_w{p}", f"_b{p}").alias("value")) for p in sorted(partitions)]
     seen = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
     text = F.concat(F.lit("{"), F.array_join(F.transform(seen, lambda e: F.concat(F.lit('"'), e["key"].cast("string"), F.lit('":'), e["value"].cast("string"))), ","), F.lit("}"))
-    return records.withColumn("offsets", text)
+    return rows.select(*[records[c] for c in records.columns], text.alias("offsets"))
+
+
+def encode_records(log: DataFrame, topic: str, key: str = "model_id", payload: str = "payload") -> DataFrame:
+    """The records that carry a log: topic, key, value and headers, as a topic's writer takes them; `decode_records` reads them again."""
+    head = lambda name, v: F.struct(F.lit(name).alias("key"), v.cast("string").cast("binary").alias("value"))
+    headers = F.array(head("event-type", F.col("event_type")), head("event-number", F.col("event_number")), head("created-on", F.date_format("created_on", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    return log.select(F.lit(topic).alias("topic"), F.col(key).cast("string").cast("binary").alias("key"), F.col(payload).cast("binary").alias("value"), headers.alias("headers"))
 
 
 def lag(heads: DataFrame) -> DataFrame:
