@@ -168,12 +168,23 @@ def test_licence_blocks_equal_brute_force(spark):
     for i, t in docs:
         w, found = t.split(), set()
         for a in range(0, len(w), rules.step):
-            block = set(w[a : a + rules.block])
+            block = set(w[a : a + rules.words(templates)])
             found |= {label for label, x in templates if len(block & set(x.split())) >= -(-80 * len(set(x.split())) // 100)}
         assert got[i] == sorted(found)
     assert any(got.values()) and not all(got.values())
 
 
+def test_whole_licence_texts_are_found_wherever_they_stand(spark):
+    rows = []
+    for n, (label, text) in enumerate(licenses.TEMPLATES):
+        for before in (0, 17, 48, 101):
+            noisy = " rem ".join(" ".join(text.split()[i : i + 9]) for i in range(0, len(text.split()), 9))
+            rows += [(n, label, "word " * before + text + " more" * 60), (n, label, "word " * before + noisy)]
+    docs = spark.createDataFrame([(i, label, t) for i, (_, label, t) in enumerate(rows)], "doc_id int, label string, text string")
+    got = {r["doc_id"]: r["block_labels"] for r in licenses.scan(docs).collect()}
+    assert all(label in got[i] for i, (_, label, _) in enumerate(rows))
+
+
 def test_language_odd_input(spark, odd, empty):
     model = langid.fit(odd)
     assert model.languages == ["de", "en", "fr"]

@@ -71,7 +71,7 @@ i AS (SELECT doc_id, ws, unnest(range(0, len(ws))) AS word FROM d WHERE list_has
 b AS (SELECT doc_id, word, label FROM i JOIN p ON ws[word + 1:word + len(phrase)] = phrase),
 pb AS (SELECT doc_id, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
 t(label, words, need) AS (VALUES {_TEMPLATE_ROWS}),
-k AS (SELECT doc_id, list_distinct(ws[a + 1:a + {_SCAN.block}]) AS held FROM (SELECT doc_id, ws, unnest(range(0, len(ws), {_SCAN.step})) AS a FROM d)),
+k AS (SELECT doc_id, list_distinct(ws[a + 1:a + {_SCAN.words(TEMPLATES)}]) AS held FROM (SELECT doc_id, ws, unnest(range(0, len(ws), {_SCAN.step})) AS a FROM d)),
 h AS (SELECT doc_id, label, len(list_intersect(held, words)) / len(words) AS share FROM k, t WHERE len(list_intersect(held, words)) >= need),
 s AS (SELECT doc_id, max(share) AS share FROM h GROUP BY doc_id),
 u AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM h) GROUP BY doc_id)
