@@ -40,6 +40,7 @@ CHUNK = 4096
 _PIECE = 1 << 18
 _ROWS = 256  # results go out in batches of so many rows, so that ids of few texts are held at once
 _FLUSH = 400_000  # distinct units that a counting task holds
+_BUCKET = 100_000  # units of the corpus for each folder of chunks
 _STEM = 4  # characters by which the length of candidates is bounded
 _BLOCK = 512  # links of a long unit are kept in blocks, so that a fold copies no long array
 
@@ -438,11 +439,10 @@ def encode(docs: DataFrame, table: PieceTable, frequent: int = 1 << 19, text_col
     counted = filled.select(text).mapInArrow(_counter(rules), "hash long, unit string, n long")
     counted = counted.repartition(F.col("hash")).groupBy("hash", "unit").agg(F.sum("n").alias("n"))  # tasks have merged theirs already
     coded = scratch.save(lattice(counted, table))
-    held = scratch.save(tk.most_frequent(coded, "n", frequent).select("hash", "ids").coalesce(8))  # `frequent` rows at most: about 25 bytes each
+    held = scratch.save(tk.most_frequent(coded, "n", frequent).select("hash", "ids").coalesce(2))  # `frequent` rows at most: about 25 bytes each
     uri, zero = held._tideline_path, table.byte_zero
     wanted = filled.select(text, chunk.alias("chunk")).mapInArrow(_rare(rules, uri, zero), "chunk long, hash long")
-    # One folder for so many chunks that it has about as many rows as a counting task holds, at this many units.
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-coded.count() // _FLUSH))
+    buckets = max(8, -(-coded.count() // _BUCKET))  # a folder is for many chunks, and grows with what a chunk needs
     bucket = F.pmod("chunk", F.lit(buckets)).alias("bucket")
     rare = wanted.distinct().join(coded.select("hash", "ids"), "hash").select("chunk", "hash", "ids", bucket)
     fills = scratch.path("fills")
