@@ -227,3 +227,13 @@ def test_plan_of_the_flagship_prunes_and_aggregates_before_the_shuffle(spark):
 
     plan = catalogue.QUERIES["order_projection"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_child_arrays_need_a_key():
+    from pyspark.sql import types as T
+
+    schema = T.StructType.fromDDL("id long, lines array<struct<line_id:long,n:int>>, tags array<string>")
+    sink.check_children(schema, {"lines": "line_id"})
+    for arrays in ({}, {"lines": "other"}):
+        with pytest.raises(ValueError, match="child array lines"):
+            sink.check_children(schema, arrays)
