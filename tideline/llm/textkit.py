@@ -191,6 +191,11 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Tables written in the shared folder to cut lineage; dropped one by one when no longer read."""
 
@@ -211,10 +216,8 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t._tideline_path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            remove(self.spark, t._tideline_path)
 
 
 _NARROW = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
