@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +41,7 @@ CHUNK = 4096
 _PIECE = 1 << 18
 _ROWS = 256  # results go out in batches of so many rows, so that ids of few texts are held at once
 _FLUSH = 400_000  # distinct units that a counting task holds
-_BUCKET = 100_000  # units of the corpus for each folder of chunks
+_BUCKET = 400_000  # units of the corpus for each folder of chunks
 _STEM = 4  # characters by which the length of candidates is bounded
 _BLOCK = 512  # links of a long unit are kept in blocks, so that a fold copies no long array
 
@@ -438,7 +439,7 @@ def encode(docs: DataFrame, table: PieceTable, frequent: int = 1 << 19, text_col
     filled, text = docs.where(F.length(F.col(f"`{text_col}`")) > 0), _led(F.col(f"`{text_col}`")).alias("led")
     counted = filled.select(text).mapInArrow(_counter(rules), "hash long, unit string, n long")
     counted = counted.repartition(F.col("hash")).groupBy("hash", "unit").agg(F.sum("n").alias("n"))  # tasks have merged theirs already
-    coded = scratch.save(lattice(counted, table))
+    coded = lattice(counted, table).persist(StorageLevel.DISK_ONLY)  # made anew where an executor is lost; gone below
     held = scratch.save(tk.most_frequent(coded, "n", frequent).select("hash", "ids").coalesce(2))  # `frequent` rows at most: about 25 bytes each
     uri, zero = held._tideline_path, table.byte_zero
     wanted = filled.select(text, chunk.alias("chunk")).mapInArrow(_rare(rules, uri, zero), "chunk long, hash long")
@@ -447,7 +448,7 @@ def encode(docs: DataFrame, table: PieceTable, frequent: int = 1 << 19, text_col
     rare = wanted.distinct().join(coded.select("hash", "ids"), "hash").select("chunk", "hash", "ids", bucket)
     fills = scratch.path("fills")
     rare.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").write.partitionBy("bucket").parquet(fills)
-    scratch.drop(coded)
+    coded.unpersist()
     made = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
     own = [f for f in docs.schema if f.name not in (ids_col, decoded_col)]
     led, named = tk.fresh(docs, "led", "chunk")
