@@ -462,11 +462,19 @@ def test_components_of_a_shuffled_chain_of_thousands(spark):
 # --- pieces ---
 
 
+_RULES: dict = {}
+
+
+def rules_of(table):
+    if id(table) not in _RULES:
+        score = {p: (i, s) for p, i, s in table.pieces}
+        _RULES[id(table)] = table, score, min(s for _, _, s in table.pieces) - 10, max(map(len, score)), table.pairs()
+    return _RULES[id(table)][1:]
+
+
 def plain_viterbi(unit, table):
     """Best path over the whole text, with no cuts: largest score, then fewest edges, then the longer last piece."""
-    score = {p: (i, s) for p, i, s in table.pieces}
-    low = min(s for _, _, s in table.pieces) - 10
-    longest = max(map(len, score))
+    score, low, longest, _ = rules_of(table)
     best = [(0.0, 0, None, None)] + [None] * len(unit)
     for e in range(1, len(unit) + 1):
         for s in range(max(0, e - longest), e):
@@ -488,7 +496,7 @@ def plain_viterbi(unit, table):
 
 
 def cut_units(text, table):
-    pairs, out = table.pairs(), [" "]
+    pairs, out = rules_of(table)[3], [" "]
     for a, b in zip(" " + text, text, strict=False):
         if a + b in pairs:
             out[-1] += b

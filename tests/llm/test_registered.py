@@ -70,7 +70,7 @@ def test_op3_equals_alignment_of_every_pattern(spark):
     items = [(r["item_id"], r["text"]) for r in tk.table(spark, SF, "benchmark").collect()]
     index = decontam.build([t for _, t in items], decontam.SearchRules())
     got = {(r["doc_id"], r["item_id"]) for r in registry.op3_decontamination(spark, SF).collect()}
-    rows = list(texts.items())[::4]  # alignment of every pattern with every text is slow
+    rows = [(i, t) for i, t in texts.items() if len(t or "") < 6000][::4]  # alignment of every pattern with every text is slow
     want = set()
     for i, t in rows:
         x, _ = decontam.normalise(np.frombuffer((t or "").encode(), np.uint8), np.array([0]))
