@@ -214,9 +214,13 @@ def test_em_proportions_of_a_known_mixture():
     rng = np.random.default_rng(2)
     like = rng.dirichlet(np.ones(50) * 0.2, 3).T
     counts = rng.multinomial(20000, like @ np.array([0.6, 0.3, 0.1]))
-    pi, ll = langid.em(like, counts.astype(float), 300)
+    pi, ll, gap = langid.em(like, counts.astype(float), 300, close=1e-3)
     assert np.allclose(pi, [0.6, 0.3, 0.1], atol=0.02)
-    assert ll >= counts @ np.log(like @ np.array([0.6, 0.3, 0.1])) - 1e-6
+    assert ll >= counts @ np.log(like @ np.array([0.6, 0.3, 0.1])) - 1e-3
+    for rounds in (0, 1, 3, 300):  # the bound holds wherever EM stops
+        _, early, above = langid.em(like, counts.astype(float), rounds)
+        assert early <= ll + 1e-6 and early + above >= ll - 1e-6
+    assert gap <= 1e-3
 
 
 @pytest.mark.parametrize("name", ["op6_secrets", "op7_licenses", "op9_quality"])
