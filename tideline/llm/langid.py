@@ -198,6 +198,7 @@ def _predictor(shared, names: list[str]):
                     shares.append([v for _, v in chosen])
             made = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
+        tk.release()
 
     return run
 

@@ -69,6 +69,7 @@ def _sizer(width: int, id_field: str):
                     n.append(len(s))
                     keys.append(_set_key(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), *batch.columns[2:]], names=[id_field, "n_shingles", "set_key", "text_key"][: batch.num_columns + 1])
+        tk.release()
 
     return run
 
@@ -131,6 +132,8 @@ def _cutter(width: int, fragments: int):
                         keys, sizes, sets, held, seen = [], [], [], 0, set()
         if sets:
             yield flush(keys, sizes, sets)
+        del keys, sizes, sets, seen
+        tk.release()
 
     return run
 
@@ -179,6 +182,7 @@ def _sharer(buckets: int):
                 rows.append((int(b), k[mine].tobytes(), n[mine].tobytes(), c[mine].tobytes(), gram[at].tobytes(), rank[at].tobytes()))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(v, pa.binary()) for v in cols[1:])], names=["bucket", *_BLOBS, "ranks"])
+        tk.release()
 
     return run
 
@@ -205,6 +209,7 @@ def _survivor(percent: int):
                 b = min(a + 2000, len(alive))
                 lists = pa.ListArray.from_arrays(pa.array(offsets[a : b + 1] - offsets[a], pa.int32()), pa.array(gram[offsets[a] : offsets[b]], pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(names[alive[a:b]], pa.int64()), pa.array(n[alive[a:b]], pa.int64()), lists], names=["set_key", "n", "grams"])
+        tk.release()
 
     return run
 

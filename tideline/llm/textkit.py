@@ -137,7 +137,12 @@ def shingle_sets(piece: Piece, width: int = 5) -> Iterator[np.ndarray]:
 
 def release() -> None:
     """Give memory that a task is done with back: idle workers wait for other tasks beside their executor."""
+    import ctypes
+
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries keep what is freed, and have this
+    if trim is not None:
+        trim(0)
 
 
 def spans(column: pa.Array, size: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
