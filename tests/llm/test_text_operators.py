@@ -1,14 +1,16 @@
 """Language, secrets, licences, quality: odd input against plain versions."""
 
+import gc
 import hashlib
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import langid, licenses, quality, registry, secrets
+from tideline.llm import langid, licenses, ngramjoin, pieces, quality, registry, secrets
 from tideline.llm import textkit as tk
 
 SF = "/root/testdata/sf0.001"
@@ -228,3 +230,27 @@ def test_queries_return_every_document(spark, name):
     docs = tk.table(spark, SF, "documents")
     out = registry.queries()[name](spark, SF)
     assert out.count() == docs.count() and out.select("doc_id").distinct().count() == docs.count()
+
+
+def test_memory_is_given_back_when_a_task_holds_nothing_more(monkeypatch):
+    """At the end of a task its units, lookups and pieces are gone before freed memory goes back."""
+    table = pieces.PieceTable([("a", 0, -1.0), (" a", 1, -0.5), ("ab", 2, -0.7)], 3, ["a", " a", "ab", *range(256)])
+    shared = lambda x: type("Shared", (), {"value": x})()
+    held = []
+    monkeypatch.setattr(tk, "release", lambda: held.append([o for o in gc.get_objects() if type(o) in (pieces.Units, pieces.Lookup, tk.Piece)]))
+    batch = pa.RecordBatch.from_arrays([pa.array([" ab a b", " aab"]), pa.array([1, 1], pa.int64())], names=["led", "chunk"])
+    for f in (tk.released(pieces._counter(shared(pieces.joins(table)))), tk.released(ngramjoin._cutter(5, 4))):
+        out = list(f(iter([batch])))
+        assert out and held.pop() == []
+        del out
+
+
+def test_tables_of_the_driver_need_no_python_workers(spark):
+    """Rows that are pickled are unpickled by Python workers on the executors, of another kind than the operators'."""
+    rows = [(i, None if i == 3 else f"é{i}", i / 4) for i in range(5)]
+    made = tk.local(spark, rows, "n long, word string, x double")
+    assert made.schema.simpleString() == "struct<n:bigint,word:string,x:double>"
+    assert [tuple(r) for r in made.collect()] == rows
+    assert "Python" not in made._jdf.queryExecution().toRdd().toDebugString()
+    assert tk.local(spark, [], "n long, word string").collect() == []
+    assert tk.local(spark, [([1],)], "n array<int>").collect()[0]["n"] == [1]

@@ -307,9 +307,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, rules: SearchRules | No
         held.sort(key=lambda r: (r[0] is None, r[0], r[1]))
         for items, index in _indexes(held, rules):
             shared = spark.sparkContext.broadcast(tuple(vars(index).values()))  # `index_bytes` at most
-            found = rows.mapInArrow(_finder(shared, schema.names), schema)
+            found = rows.mapInArrow(tk.released(_finder(shared, schema.names)), schema)
             names = T.StructType([T.StructField("n", T.LongType()), T.StructField("item_id", item_kind)])
-            of = F.broadcast(spark.createDataFrame([(i, r[0]) for i, r in enumerate(items)], names))  # no larger than the index
+            of = F.broadcast(tk.local(spark, [(i, r[0]) for i, r in enumerate(items)], names))  # no larger than the index
             out.append(found.join(of, found["item"] == of["n"]).select(found[id_col], of["item_id"], "edits", "n_windows", "windows", "begin", "end"))
     return reduce(DataFrame.unionByName, out)
 

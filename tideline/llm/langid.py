@@ -117,7 +117,7 @@ def fit(labelled: DataFrame, settings: MixtureSettings | None = None, id_col: st
     if any(n > s.per_language for n in sizes.values()):
         share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, s.per_language / n)))])[F.col("lang")]
         rows = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
-    counts = rows.select("text", "lang").mapInArrow(_counter(s.buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.select("text", "lang").mapInArrow(tk.released(_counter(s.buckets)), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     place = {k: i for i, k in enumerate(languages)}
     table = np.zeros((s.buckets, len(languages)))
     got = counts.toArrow()
@@ -198,7 +198,6 @@ def _predictor(shared, names: list[str]):
                     shares.append([v for _, v in chosen])
             made = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=names)
-        tk.release()
 
     return run
 
@@ -213,7 +212,7 @@ def predict(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_c
     rows = docs.select(*[F.col(f"`{f.name}`") for f in own], F.col(f"`{text_col}`").alias(tk.fresh(docs, "whole")[0]))
     kinds = (T.StringType(), T.DoubleType(), T.ArrayType(T.StringType()), T.ArrayType(T.DoubleType()))
     schema = T.StructType([*own, *[T.StructField(n, k) for n, k in zip(results, kinds, strict=True)]])
-    return rows.mapInArrow(_predictor(shared, schema.names), schema)
+    return rows.mapInArrow(tk.released(_predictor(shared, schema.names)), schema)
 
 
 def keep_known(docs: DataFrame, model: MixtureModel, least: float = 0.5, text_col: str = "text") -> DataFrame:

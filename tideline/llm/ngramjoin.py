@@ -69,7 +69,6 @@ def _sizer(width: int, id_field: str):
                     n.append(len(s))
                     keys.append(_set_key(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), *batch.columns[2:]], names=[id_field, "n_shingles", "set_key", "text_key"][: batch.num_columns + 1])
-        tk.release()
 
     return run
 
@@ -132,8 +131,6 @@ def _cutter(width: int, fragments: int):
                         keys, sizes, sets, held, seen = [], [], [], 0, set()
         if sets:
             yield flush(keys, sizes, sets)
-        del keys, sizes, sets, seen
-        tk.release()
 
     return run
 
@@ -182,7 +179,6 @@ def _sharer(buckets: int):
                 rows.append((int(b), k[mine].tobytes(), n[mine].tobytes(), c[mine].tobytes(), gram[at].tobytes(), rank[at].tobytes()))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(v, pa.binary()) for v in cols[1:])], names=["bucket", *_BLOBS, "ranks"])
-        tk.release()
 
     return run
 
@@ -209,7 +205,6 @@ def _survivor(percent: int):
                 b = min(a + 2000, len(alive))
                 lists = pa.ListArray.from_arrays(pa.array(offsets[a : b + 1] - offsets[a], pa.int32()), pa.array(gram[offsets[a] : offsets[b]], pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(names[alive[a:b]], pa.int64()), pa.array(n[alive[a:b]], pa.int64()), lists], names=["set_key", "n", "grams"])
-        tk.release()
 
     return run
 
@@ -352,13 +347,13 @@ def link(docs: DataFrame, rules: JoinRules | None = None, id_col: str = "doc_id"
     scratch = tk.Scratch(spark, "ngramjoin")
     kind = docs.schema[id_col].dataType.simpleString()
     key, key_kind = ([tk.text_key(F.col(text_col))], ", text_key string") if want == "groups" else ([], "")
-    sets = scratch.save(docs.select(F.col(id_col), F.col(text_col), *key).mapInArrow(_sizer(rules.width, id_col), f"`{id_col}` {kind}, n_shingles long, set_key long{key_kind}"))
+    sets = scratch.save(docs.select(F.col(id_col), F.col(text_col), *key).mapInArrow(tk.released(_sizer(rules.width, id_col)), f"`{id_col}` {kind}, n_shingles long, set_key long{key_kind}"))
     total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rules.postings))
     blobs = "keys binary, sizes binary, counts binary, grams binary"
-    cut = docs.select(F.col(text_col)).mapInArrow(_cutter(rules.width, fragments), f"fragment int, {blobs}")
-    shared = _spread(cut, fragments, "fragment").mapInArrow(_sharer(fragments), f"bucket int, {blobs}, ranks binary")
-    alive = scratch.save(_spread(shared, fragments, "bucket").mapInArrow(_survivor(rules.percent), "set_key long, n long, grams array<bigint>"))
+    cut = docs.select(F.col(text_col)).mapInArrow(tk.released(_cutter(rules.width, fragments)), f"fragment int, {blobs}")
+    shared = _spread(cut, fragments, "fragment").mapInArrow(tk.released(_sharer(fragments)), f"bucket int, {blobs}, ranks binary")
+    alive = scratch.save(_spread(shared, fragments, "bucket").mapInArrow(tk.released(_survivor(rules.percent)), "set_key long, n long, grams array<bigint>"))
     prefix = alive.withColumn("need", F.ceil(F.col("n") * rules.percent / 100)).select(
         "set_key", "n", F.size("grams").alias("m"), F.posexplode(F.slice("grams", 1, (F.size("grams") - F.col("need") + 1).cast("int"))).alias("pos", "gram")
     )

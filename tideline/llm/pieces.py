@@ -187,7 +187,6 @@ def _counter(rules_of):
                         held, size, last = [], 0, 0
         if held:
             yield out(_merged(held))
-        tk.release()
 
     return run
 
@@ -261,8 +260,8 @@ def lattice(units: DataFrame, table: PieceTable) -> DataFrame:
     for p, _, _ in table.pieces:
         if len(p) >= _STEM:
             stems[p[:_STEM]] = max(stems.get(p[:_STEM], 0), len(p))
-    pieces = F.broadcast(spark.createDataFrame(table.pieces, "piece string, id int, score double"))  # the piece table: fixed
-    bounds = F.broadcast(spark.createDataFrame(list(stems.items()), "stem string, most int"))  # no larger than it
+    pieces = F.broadcast(tk.local(spark, table.pieces, "piece string, id int, score double"))  # the piece table: fixed
+    bounds = F.broadcast(tk.local(spark, list(stems.items()), "stem string, most int"))  # no larger than it
     starts = units.select("hash", "unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
     starts = starts.withColumn("stem", F.expr(f"substring(unit, s + 1, {_STEM})")).join(bounds, "stem", "left")
     reach = f"least(s + coalesce(most, {_STEM - 1}), length(unit))"
@@ -303,15 +302,16 @@ class Lookup:
 
     @staticmethod
     def build(parts: list[tuple[np.ndarray, pa.Array]], byte_zero: int) -> Lookup:
-        """From (signed hashes, lists of ids)."""
+        """From (signed hashes, lists of ids), which are taken out of `parts` one by one."""
         hashes, lengths, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
-        for h, lists in parts:
+        while parts:
+            h, lists = parts.pop(0)
             flat, cuts = as_bytes(lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())], byte_zero)
             hashes.append(h.view(np.uint64))
             lengths.append(np.diff(cuts))
             ids.append(flat.astype(np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.int32))
         h, n, flat = np.concatenate(hashes), np.concatenate(lengths), np.concatenate(ids)
-        del hashes, lengths, ids, parts
+        del hashes, lengths, ids
         bounds = np.r_[0, np.cumsum(n)]
         order = np.argsort(h, kind="stable")
         h, begins, ends = h[order], bounds[:-1][order], bounds[1:][order]  # the ids stay where they are
@@ -332,7 +332,7 @@ class Lookup:
             batches = (b for f in files for b in pq.ParquetFile(f, filesystem=fs).iter_batches(1 << 16, columns=["hash", "ids"], use_threads=False))
         else:
             rows = pads.dataset(base, filesystem=fs, format="parquet", exclude_invalid_files=False)
-            batches = rows.to_batches(columns=["hash", "ids"], filter=pads.field("chunk") == chunk, use_threads=False)
+            batches = rows.to_batches(columns=["hash", "ids"], filter=pads.field("chunk") == chunk, use_threads=False, batch_readahead=1, fragment_readahead=1)
         for b in batches:
             parts.append((b["hash"].to_numpy(), b["ids"]))
         return Lookup.build(parts, byte_zero)
@@ -367,6 +367,7 @@ def _rare(rules_of, uri: str, byte_zero: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, look = rules_of.value, Lookup.load(uri, byte_zero)
+        tk.release()  # what the table was built from
         held, size, of = [], 0, None
 
         def out():
@@ -385,7 +386,6 @@ def _rare(rules_of, uri: str, byte_zero: int):
                     size += len(held[-1])
         if held:
             yield out()
-        tk.release()
 
     return run
 
@@ -415,6 +415,7 @@ def _encoder(rules_of, uri: str, fills: str, buckets: int, byte_zero: int, names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, look = rules_of.value, Lookup.load(uri, byte_zero)
+        tk.release()  # what the table was built from
         own, of = None, None
         for batch in batches:
             for a, n, chunk in _runs(batch.column(batch.num_columns - 1)):
@@ -425,7 +426,6 @@ def _encoder(rules_of, uri: str, fills: str, buckets: int, byte_zero: int, names
                     ids = ids_of(part.column(part.num_columns - 2), look, own, rules)
                     back = [pa.array(decode_lists(ids, *bytes_of.value), pa.string())] if bytes_of else []
                     yield pa.RecordBatch.from_arrays([*part.columns[:-2], ids, *back], names=names)
-        tk.release()
 
     return run
 
@@ -437,12 +437,12 @@ def encode(docs: DataFrame, table: PieceTable, frequent: int = 1 << 19, text_col
     rules = spark.sparkContext.broadcast(joins(table))  # 64 KB, and eight bytes a pair
     docs, chunk = tk.chunked(docs, scratch, CHUNK)
     filled, text = docs.where(F.length(F.col(f"`{text_col}`")) > 0), _led(F.col(f"`{text_col}`")).alias("led")
-    counted = filled.select(text).mapInArrow(_counter(rules), "hash long, unit string, n long")
+    counted = filled.select(text).mapInArrow(tk.released(_counter(rules)), "hash long, unit string, n long")
     counted = counted.repartition(F.col("hash")).groupBy("hash", "unit").agg(F.sum("n").alias("n"))  # tasks have merged theirs already
     coded = lattice(counted, table).persist(StorageLevel.DISK_ONLY)  # made anew where an executor is lost; gone below
     held = scratch.save(tk.most_frequent(coded, "n", frequent).select("hash", "ids").coalesce(2))  # `frequent` rows at most: about 25 bytes each
     uri, zero = held._tideline_path, table.byte_zero
-    wanted = filled.select(text, chunk.alias("chunk")).mapInArrow(_rare(rules, uri, zero), "chunk long, hash long")
+    wanted = filled.select(text, chunk.alias("chunk")).mapInArrow(tk.released(_rare(rules, uri, zero)), "chunk long, hash long")
     buckets = max(8, -(-coded.count() // _BUCKET))  # a folder is for many chunks, and grows with what a chunk needs
     bucket = F.pmod("chunk", F.lit(buckets)).alias("bucket")
     rare = wanted.distinct().join(coded.select("hash", "ids"), "hash").select("chunk", "hash", "ids", bucket)
@@ -455,7 +455,7 @@ def encode(docs: DataFrame, table: PieceTable, frequent: int = 1 << 19, text_col
     rows = docs.select(*[F.col(f"`{f.name}`") for f in own], text.alias(led), chunk.alias(named))
     schema = T.StructType([*own, *made])
     bytes_of = spark.sparkContext.broadcast(piece_bytes(table)) if decoded_col else None  # the piece table: fixed
-    return rows.mapInArrow(_encoder(rules, uri, fills, buckets, zero, schema.names, bytes_of), schema)
+    return rows.mapInArrow(tk.released(_encoder(rules, uri, fills, buckets, zero, schema.names, bytes_of)), schema)
 
 
 def piece_bytes(table: PieceTable) -> tuple[np.ndarray, np.ndarray]:

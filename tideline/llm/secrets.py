@@ -115,7 +115,7 @@ def find_secrets(docs: DataFrame, rules: LinkRules | None = None, id_col: str =
     rules = rules or LinkRules()
     kind = docs.schema[id_col].dataType.simpleString()
     scanned = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("text_key")).mapInArrow(
-        _scanner(rules, id_col), f"`{id_col}` {kind}, text_key string, base {_SPANS}, parts {_SPANS}"
+        tk.released(_scanner(rules, id_col)), f"`{id_col}` {kind}, text_key string, base {_SPANS}, parts {_SPANS}"
     )
     scanned = tk.Scratch(docs.sparkSession, "secrets").save(scanned)  # no texts; read three times below
     key = [F.col(id_col).alias("k_id"), F.col("text_key").alias("k_text")]
@@ -183,7 +183,7 @@ def redact_secrets(docs: DataFrame, rules: LinkRules | None = None, id_col: str
     found = found.where(F.size(rspans) > 0).dropDuplicates([rid, rtext])
     key = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)
     joined = docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(rid)) & (key == F.col(rtext)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], rspans)
-    return joined.mapInArrow(_redactor(docs.columns, docs.columns.index(text_col)), docs.schema)
+    return joined.mapInArrow(tk.released(_redactor(docs.columns, docs.columns.index(text_col))), docs.schema)
 
 
 def digest(spans: list[tuple[int, int, int]]) -> str:

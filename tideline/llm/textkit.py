@@ -19,6 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 PIECE = 1 << 20
 _SPACES = np.zeros(256, bool)
@@ -145,6 +146,16 @@ def release() -> None:
         trim(0)
 
 
+def released(run):
+    """A task's function that gives memory back when its own variables are gone, and not before."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def spans(column: pa.Array, size: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(bytes, text offsets, first row) of consecutive texts of about `size` bytes, one text at least; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -254,6 +265,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_PLAIN = (T.StringType, T.IntegralType, T.FractionalType, T.BooleanType)
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """Rows of the driver as a table. Plain types go by Arrow: else executors start Python workers of another kind, only to unpickle them."""
+    shape = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not rows or not all(isinstance(f.dataType, _PLAIN) for f in shape):
+        return spark.createDataFrame(rows, shape)
+    columns = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*rows, strict=True), shape, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=shape.names), shape)
+
+
 def fields(ddl: str) -> list[T.StructField]:
     return list(T.StructType.fromDDL(ddl))
 
